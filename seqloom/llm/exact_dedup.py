@@ -22,8 +22,9 @@ from .common import bounded, stage
 SUPPORT = 1 / 1000
 #: Counters of each summary; any digest above SUPPORT of the rows is among them.
 COUNTERS = 4096
-#: Groups of tasks whose summaries meet before the last merge.
-MERGERS = 64
+#: Groups of tasks whose summaries are merged. A digest with SUPPORT of all rows has it in one group at least, so at most
+#: MERGERS / SUPPORT candidates are verified.
+MERGERS = 16
 
 
 def text_digest(text: Column) -> Column:
@@ -36,10 +37,10 @@ def _heavy(rows: DataFrame, total: int) -> DataFrame:
     least = max(2, -(-int(total * SUPPORT * 1e6) // 1_000_000))
     rows.createOrReplaceTempView(view := f"digests_{abs(hash(rows)) % 10**9}")
     top = rows.sparkSession.sql(f"""
-        SELECT inline(approx_top_k_estimate(approx_top_k_combine(part, {COUNTERS}), {int(1 / SUPPORT)})) FROM (
-            SELECT approx_top_k_accumulate(digest, {COUNTERS}) AS part FROM {view}
-            GROUP BY pmod(shiftright(rid, 33), {MERGERS}))""")
-    likely = top.filter(F.col("count") >= least).select(F.col("item").alias("digest"))
+        SELECT inline(top), n FROM (
+            SELECT approx_top_k(digest, {int(1 / SUPPORT)}, {COUNTERS}) AS top, count(*) AS n
+            FROM {view} GROUP BY pmod(shiftright(rid, 33), {MERGERS}))""")
+    likely = top.filter(F.col("count") >= F.col("n") * SUPPORT).select(F.col("item").alias("digest")).distinct()
     return _winners(rows.join(F.broadcast(likely), "digest", "left_semi")).filter(F.col("group_size") >= least)
 
 
