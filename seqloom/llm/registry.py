@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ngram_join
-from .common import table
+from . import bpe, exact_dedup, langid, ngram_join
+from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.split_training(docs))
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,7 +35,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_exact_dedup, op6_ngram_jaccard_join, op10_byte_bpe)}
+    return {f.__name__: f for f in (op4_language_id, op5_exact_dedup, op6_ngram_jaccard_join, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
