@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, ngram_join
+from . import bpe, decontaminate, exact_dedup, langid, ngram_join
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), rule)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,8 +38,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_language_id, op5_exact_dedup, op6_ngram_jaccard_join, op10_byte_bpe)}
+    return {f.__name__: f for f in (op4_language_id, op5_exact_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
