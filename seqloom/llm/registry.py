@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, langid, ngram_join
+from . import bpe, decontaminate, exact_dedup, langid, ngram_join, ppm
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ppm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0))
+    columns = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.withColumn("held_out", ~found["trained"]).select("doc_id", "held_out", *columns)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +51,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_language_id, op5_exact_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op10_byte_bpe, pipeline)}
+    return {f.__name__: f for f in (op4_language_id, op5_exact_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_ppm_score, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
