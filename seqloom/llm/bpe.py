@@ -27,8 +27,8 @@ DEPTH = 64
 CHUNK_BYTES = 200_000
 #: Rows that one recursion may hold.
 STATE_ROWS = 4_000_000
-#: Pieces a worker remembers; beyond that it forgets them all.
-REMEMBER = 400_000
+#: A worker remembers up to twice this many pieces; the half that it has not met for longest goes first.
+REMEMBER = 500_000
 
 _CONTRACT = """
 WITH RECURSIVE state(w, i, tok, live, d) AS (
@@ -68,6 +68,7 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.byte_ids = [ranks[bytes([i])] for i in range(256)]
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
         pairs = [(x, y, r) for t, r in ranks.items() for k in range(1, len(t)) if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None]
         a, b, r = (pa.array(c, pa.int32()) for c in zip(*pairs, strict=True))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -118,9 +119,12 @@ class Encoder:
         """For each text its ids as decimals joined by one space, and its decoded bytes."""
         split = [self.split(t) if t else [] for t in texts]
         if len(self.known) > REMEMBER:
-            self.known.clear()
-        self.learn(list({p for s in split for p in s} - self.known.keys()))
-        known = self.known
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = set().union(*split) - known.keys()
+        again = missing & older.keys()
+        known.update((p, older[p]) for p in again)
+        self.learn(list(missing - again))
         for s in split:
             found = [known[p] for p in s]
             yield " ".join([f[0] for f in found]), b"".join([f[1] for f in found])
@@ -148,8 +152,8 @@ def bpe(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 done = list(enc.encode(part.column(1).to_pylist()))
                 cols = [
                     part.column(0),
