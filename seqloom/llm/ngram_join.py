@@ -60,7 +60,7 @@ class Rule:
     @property
     def sample(self) -> float:
         """Share of the hash range whose tokens are counted for pruning."""
-        return min(1.0, 1.6 * (self.den - self.num) / self.den)
+        return min(1.0, 2.0 * (self.den - self.num) / self.den)
 
     def ranges(self, upto: int) -> list[int]:
         """Starts of the size ranges; linked sizes are in the same range or adjacent ones."""
@@ -184,13 +184,13 @@ def signatures_of(n: int, tokens, counts, rule: Rule) -> Iterator[tuple[int, boo
 
 
 def _signatures(ordered: DataFrame, rule: Rule) -> DataFrame:
-    """ordered(fp, n, tokens, counts) to (key, index, cover, fp, n, own)."""
+    """ordered(node, n, tokens, counts) to (key, index, cover, node, n, own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            fps, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ns = batch.column(1).to_pylist()
             for at in range(0, batch.num_rows, 64):
                 which, keys, sides, covers = [], [], [], []
                 part = batch.slice(at, 64)
@@ -201,10 +201,10 @@ def _signatures(ordered: DataFrame, rule: Rule) -> DataFrame:
                 ix = np.array(which, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array(sides, pa.bool_()), pa.array(covers, pa.int32()), batch.column(0).take(pa.array(ix)), pa.array(np.array(ns, np.int32)[ix]), pa.array(own.astype(np.int32)[ix])],
-                    names=["key", "index", "cover", "fp", "n", "own"],
+                    names=["key", "index", "cover", "node", "n", "own"],
                 )
 
-    return ordered.select("fp", "n", "tokens", "counts").mapInArrow(run, "key long, index boolean, cover int, fp binary, n int, own int")
+    return ordered.select("node", "n", "tokens", "counts").mapInArrow(run, "key long, index boolean, cover int, node long, n int, own int")
 
 
 def _overlap(a: str, b: str, rule: Rule):
@@ -213,13 +213,13 @@ def _overlap(a: str, b: str, rule: Rule):
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Those of pairs(a, b) that are linked."""
-    one = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     return pairs.join(one, "a").join(two, "b").filter(F.size(F.array_intersect("ta", "tb")) >= _overlap("na", "nb", rule)).select("a", "b")
 
 
 def similar_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """docs(id, text) to its rows (id, n, fp) and the links between different sets' components, (node, label)."""
+    """docs(id, text) to its rows (id, n, fp), and the component (fp, label) of each set that has a link to another set."""
     docs = docs.select("id", "text")
     rows = stage(_sets(docs, rule, False), "samples")
     groups = stage(rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.max("n").alias("n")), "groups")
@@ -228,37 +228,39 @@ def similar_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     picked = docs.join(bounded(some.select(F.col("id").alias("pick")).distinct(), 64, n_some), F.col("id").eqNullSafe(F.col("pick")), "left_semi")
     sets = _sets(picked, rule, True).join(bounded(some.select("fp"), 96, n_some), "fp", "left_semi").drop("id")
     repeats = rows.agg(F.count(F.lit(1)) != F.countDistinct("id")).first()[0]
-    sets = stage(sets.dropDuplicates(["fp"]) if repeats else sets, "sets")
+    sets = sets.dropDuplicates(["fp"]) if repeats else sets
+    sets = stage(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
-    each = sets.select("fp", "n", F.explode("tokens").alias("t"))
+    each = sets.select("node", F.explode("tokens").alias("t"))
     shared = each.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    found = each.join(shared, "t").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("o"))
     ordered = (
-        each.join(shared, "t").groupBy("fp").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "t"))).alias("o"))
+        found.join(sets.select("node", "n"), "node")
         .filter(F.size("o") >= F.ceil(F.col("n") * rule.num / F.lit(rule.den)))
-        .select("fp", "n", F.col("o.t").alias("tokens"), F.col("o.c").alias("counts"))
+        .select("node", "n", F.col("o.t").alias("tokens"), F.col("o.c").alias("counts"))
     )
     ordered = stage(ordered, "ordered")
-    sets = ordered.select("fp", "n", "tokens")
 
     keyed = stage(_signatures(ordered, rule), "signatures")
-    by_key = keyed.groupBy("key").agg(F.min(F.struct("own", "fp", "n")).alias("p"), F.min("fp").alias("f"), F.max("fp").alias("g")).filter("f <> g")
-    members = keyed.groupBy("key", "fp").agg(F.max("n").alias("n"), F.max("own").alias("own"))
-    stars = members.join(by_key.select("key", "p"), "key").filter("fp <> p.fp").select(F.col("p.fp").alias("a"), F.col("fp").alias("b"), F.col("p.n").alias("na"), "n", "own", F.col("p.own").alias("po"))
+    by_key = keyed.groupBy("key").agg(F.min(F.struct("own", "node", "n")).alias("p"), F.min("node").alias("f"), F.max("node").alias("g")).filter("f <> g")
+    stars = keyed.join(by_key.select("key", "p"), "key").filter("node <> p.node").select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), "n", "own", F.col("p.own").alias("po"))
     possible = F.least(F.col("n") - F.col("own"), F.col("na") - F.col("po")) >= _overlap("n", "na", rule)
-    links = stage(_verified(stars.filter(possible).select("a", "b").distinct(), sets, rule), "stars")
+    links = stage(_verified(stars.filter(possible).select("a", "b").distinct(), ordered, rule), "stars")
 
     labels = connected_components(links)
-    labelled = keyed.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    labelled = keyed.join(bounded(labels, 64).select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stage(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.max("index").alias("i")).filter("l <> m and i").select("key")
     left = labelled.join(mixed, "key", "left_semi")
-    x = left.filter("index").select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("cover").alias("ca"), F.col("label").alias("la"), F.col("own").alias("oa"))
-    y = left.filter("not index").select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("cover").alias("cb"), F.col("label").alias("lb"), F.col("own").alias("ob"))
+    x = left.filter("index").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("cover").alias("ca"), F.col("label").alias("la"), F.col("own").alias("oa"))
+    y = left.filter("not index").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cover").alias("cb"), F.col("label").alias("lb"), F.col("own").alias("ob"))
     need = _overlap("na", "nb", rule)
     across = x.join(y, "key").filter("la <> lb and (na < nb or (na = nb and a < b))").filter((F.col("ca") <= F.col("na") - need) & (F.col("cb") <= F.col("nb") - need) & (F.col("na") - F.col("oa") >= need) & (F.col("nb") - F.col("ob") >= need))
-    rest = _verified(across.select("a", "b").distinct(), sets, rule)
+    rest = _verified(across.select("a", "b").distinct(), ordered, rule)
     tree = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return rows.select("id", "n", "fp"), connected_components(tree.unionByName(rest))
+    label_of = connected_components(tree.unionByName(rest))
+    named = sets.select("node", "fp").join(label_of, "node").select("fp", "label")
+    return rows.select("id", "n", "fp"), named
 
 
 def ngram_jaccard_join(df: DataFrame, rule: Rule | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -266,10 +268,11 @@ def ngram_jaccard_join(df: DataFrame, rule: Rule | None = None, text_col: str =
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows, labels = similar_sets(docs, rule or Rule())
     groups = rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
-    named = groups.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = stage(named, "named")
-    best = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = stage(named.join(best, "label").select("fp", "component_id"), "components")
+    named = stage(groups.join(labels, "fp", "left"), "named")
+    linked = named.filter("label is not null")
+    best = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    alone = named.filter("label is null").select("fp", F.col("least").alias("component_id"))
+    of_set = stage(linked.join(best, "label").select("fp", "component_id").unionByName(alone), "components")
     return rows.join(of_set, "fp", "left").select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
