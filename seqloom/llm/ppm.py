@@ -2,9 +2,10 @@
 
 The model is a context trie of order ORDER: for each context of up to ORDER bytes, the counts of the bytes that followed it
 in the training texts. Only the counts of the longest contexts are gathered from the corpus (all training texts, combined
-before the shuffle); those of shorter contexts follow by dropping the oldest byte. A byte is predicted in the longest
-context in which it was seen; each longer context adds the cost of an escape. Escapes are estimated by method C (distinct
-followers against occurrences), and the followers of a context are excluded from the shorter ones (symbol exclusion). The
+before the shuffle). A shorter context counts a follower once for each longer context in which it was seen (update
+exclusion), so these counts follow from the longest ones. A byte is predicted in the longest context in which it was
+seen; each longer context adds the cost of an escape. Escapes are estimated by method D (half a count of each distinct
+follower), and the followers of a context are excluded from the shorter ones (symbol exclusion). The
 last resort is a uniform choice among the 256 bytes and the end. Each text starts in a context of start marks, and
 ends with an end mark, so that scores are probabilities of whole texts. The trie is pretrained; scoring doesn't change it.
 
@@ -121,7 +122,7 @@ class Trie:
         self.keys, self.counts = [k], [c]
         for j in range(ORDER - 1, -1, -1):
             k, at = np.unique(k & self._mask(j), return_inverse=True)
-            c = np.bincount(at, c, len(k))
+            c = np.bincount(at, minlength=len(k)).astype(np.float64)
             self.keys.insert(0, k)
             self.counts.insert(0, c)
         #: By order: contexts, occurrences, distinct followers.
@@ -171,8 +172,8 @@ class Trie:
             known &= q > 0  # a context whose followers are all excluded is left at no cost
             pair, seen = self._find(self.keys[j], k)
             hit, miss = known & seen, known & ~seen
-            out[todo[hit]] += np.log10(self.counts[j][pair[hit]] / (t + q)[hit])
-            out[todo[miss]] += np.log10((q / np.where(known, t + q, 1.0))[miss])
+            out[todo[hit]] += np.log10((self.counts[j][pair[hit]] - 0.5) / t[hit])
+            out[todo[miss]] += np.log10((q / np.where(known, 2 * t, 1.0))[miss])
             longer[todo] = np.where(self._find(ctx, k >> BITS)[1], c, -1)
             todo = todo[~hit]
         out[todo] -= np.log10(max(1, END + 1 - len(self.keys[0])))  # uniform over the symbols that never occurred
