@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, langid, ngram_join, ppm
+from . import bpe, decontaminate, exact_dedup, langid, ngram_join, ppm, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2)))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.split_training(docs))
@@ -51,7 +58,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_language_id, op5_exact_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_ppm_score, op10_byte_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op4_language_id, op5_exact_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_ppm_score, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
