@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, langid, line_dedup, ngram_join, pii, ppm, toxicity
+from . import bpe, decontaminate, exact_dedup, langid, license_scan, line_dedup, ngram_join, pii, ppm, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return line_dedup.drop_boilerplate(pages, line_dedup.lines_of_html(pages["html"]), line_dedup.host_of(pages["url"]))
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op3_line_dedup, op4_language_id, op5_exact_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_ppm_score, op9_pii_pseudonyms, op10_byte_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_line_dedup, op4_language_id, op5_exact_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_ppm_score, op9_pii_pseudonyms, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
