@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, worker_state
+
 #: Contractions in one recursion; pieces with more are carried over.
 DEPTH = 64
 #: Bytes of new pieces in one recursion; a longer piece goes alone.
-CHUNK_BYTES = 200_000
+CHUNK_BYTES = 150_000
 #: Rows that one recursion may hold.
-STATE_ROWS = 4_000_000
+STATE_ROWS = 2_000_000
 #: A worker remembers up to twice this many pieces; the half that it has not met for longest goes first.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 _CONTRACT = """
 WITH RECURSIVE state(w, i, tok, live, d) AS (
@@ -71,7 +73,7 @@ class Encoder:
         self.older: dict[str, tuple[str, bytes]] = {}
         pairs = [(x, y, r) for t, r in ranks.items() for k in range(1, len(t)) if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None]
         a, b, r = (pa.array(c, pa.int32()) for c in zip(*pairs, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = pa.table({"a": a, "b": b, "rank": r})
         vocab = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})
         for name, data in (("merges", merges), ("vocab", vocab)):
@@ -130,13 +132,8 @@ class Encoder:
             yield " ".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    return worker_state(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def bpe(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id", full: bool = False) -> DataFrame:
@@ -144,6 +141,7 @@ def bpe(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id
 
     The rank file must be readable at ranks_path on every executor.
     """
+    small_batches(df)
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -28,6 +28,32 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_WORKER: dict[tuple, object] = {}
+
+
+def worker_state(key: tuple, build):
+    """What a Python worker keeps from task to task. It keeps one thing only: another operator's state goes first."""
+    if key not in _WORKER:
+        import ctypes
+        import gc
+
+        _WORKER.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc: the allocator gives memory back as it likes
+            pass
+        _WORKER[key] = build()
+    return _WORKER[key]
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Texts are long: send them to Python workers in batches of at most this many rows, unless the session has fewer."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+
+
 _STAGED: list[tuple[SparkSession, str]] = []
 
 

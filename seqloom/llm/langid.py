@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stage
+from .common import held_out, small_batches, stage, worker_state
 
 MAX_TRAIN = 20_000
 MAX_WORDS = 100_000
@@ -32,6 +32,8 @@ MAX_GRAMS = 150_000
 LONGEST = 5
 #: A word or n-gram is learned if it occurs this often in the training rows.
 MIN_WORD, MIN_GRAM = 4, 8
+#: Half of this many tokens are remembered by a worker before it forgets them all.
+REMEMBER = 400_000
 #: Smoothing of the counts.
 ADD = 0.5
 #: A document whose best language has a smaller posterior is rejected.
@@ -66,7 +68,8 @@ class Scorer:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows: list = []
+        self.used = 0
+        self.rows = self.np.zeros((REMEMBER, len(self.model.langs)), self.np.float32)
 
     def word(self, word: str):
         m = self.model
@@ -82,12 +85,15 @@ class Scorer:
         runs = self.runs(token.lower())
         if not runs:
             return self.at.setdefault(token, -1)
-        self.rows.append(sum(map(self.word, runs)))
-        return self.at.setdefault(token, len(self.rows) - 1)
+        if self.used == len(self.rows):  # a text with many new tokens
+            self.rows = self.np.concatenate([self.rows, self.np.zeros_like(self.rows)])
+        self.rows[self.used] = sum(map(self.word, runs))
+        self.used += 1
+        return self.at.setdefault(token, self.used - 1)
 
     def score(self, text: str | None) -> tuple[str, float]:
         np, m = self.np, self.model
-        if len(self.rows) > 200_000:
+        if self.used > REMEMBER // 2:
             self.forget()
         get, counts = self.at.get, Counter((text or "").split())
         ids, times = [], []
@@ -100,8 +106,7 @@ class Scorer:
                 times.append(c)
         if not ids or not m.langs:
             return "und", 0.0
-        rows = self.rows
-        total = np.array(times, np.float64) @ np.array([rows[i] for i in ids]) + m.prior
+        total = np.array(times, np.float64) @ self.rows[ids] + m.prior
         best = int(total.argmax())
         return m.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -171,9 +176,6 @@ def train(rows: DataFrame) -> Model:
     )
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def identify(df: DataFrame, training: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """id, lang_pred, score for each row of df. training has the columns id, lang and text; without it, all of df."""
     import uuid
@@ -182,12 +184,10 @@ def identify(df: DataFrame, training: DataFrame | None = None, text_col: str = "
         training = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     model = df.sparkSession.sparkContext.broadcast(train(training.filter(F.col("lang").isNotNull())))
     name, kind = uuid.uuid4().hex, df.schema[id_col].dataType.simpleString()
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(model.value)
-        scorer = _SCORERS[name]
+        scorer = worker_state(("langid", name), lambda: Scorer(model.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

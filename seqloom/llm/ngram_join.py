@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stage
+from .common import bounded, small_batches, stage, worker_state
 from .components import connected_components
 
 #: Tokens in more sets than this are indexed in combinations of two.
@@ -70,9 +70,6 @@ class Rule:
         return starts
 
 
-_MEMO: dict[bytes, int] = {}
-
-
 def tokens_of(text: str | None, words: int):
     """Sorted distinct hashes (numpy int64) of the text's word n-grams. Only A-Z are lower-cased."""
     import numpy as np
@@ -81,14 +78,15 @@ def tokens_of(text: str | None, words: int):
     found = (text or "").encode().lower().split()  # bytes: splits at [\x20\x09-\x0D] and lower-cases ASCII only
     if not found:
         return np.empty(0, np.int64)
-    if len(_MEMO) > 300_000:
-        _MEMO.clear()
-    get, one = _MEMO.get, xxhash.xxh64_intdigest
+    memo: dict[bytes, int] = worker_state(("word hashes",), dict)
+    if len(memo) > 300_000:
+        memo.clear()
+    get, one = memo.get, xxhash.xxh64_intdigest
     raw = []
     for w in found:
         h = get(w)
         if h is None:
-            h = _MEMO[w] = one(w)
+            h = memo[w] = one(w)
         raw.append(h)
     h = np.array(raw, np.uint64)
     k = min(words, len(h))
@@ -220,6 +218,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def similar_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """docs(id, text) to its rows (id, n, fp), and the component (fp, label) of each set that has a link to another set."""
+    small_batches(docs)
     docs = docs.select("id", "text")
     rows = stage(_sets(docs, rule, False), "samples")
     groups = stage(rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.max("n").alias("n")), "groups")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 ROUNDS = 10
 KINDS = ("email", "secret", "iban", "ipv4", "date", "ssn", "phone", "card")
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-31
@@ -214,14 +216,12 @@ def pseudonymise(p: Permuter, text: str | None, back: bool = False) -> tuple[str
     return PATTERN.sub(put, text), kinds
 
 
-_PERMUTERS: dict[bytes, Permuter] = {}
-
-
 def _mapped(df: DataFrame, key: bytes, text_col: str, id_col: str, back: bool) -> DataFrame:
+    small_batches(df)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _PERMUTERS.setdefault(key, Permuter(key))
+        p = Permuter(key)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage, worker_state
 
 ORDER = 5
 MAX_NODES = 3_000_000
@@ -230,9 +230,6 @@ class Table:
         return np.bincount(which, logs, len(texts))
 
 
-_TABLES: dict[str, Table] = {}
-
-
 def train(texts: DataFrame) -> tuple:
     """(keys, counts) of the longest order: at most MAX_NODES rows reach the driver, in one Arrow table."""
     counts = stage(gather(texts), "contexts")
@@ -261,6 +258,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def score(df: DataFrame, training: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, trained, n_tokens, n_known, train_tokens, base_score, score; training says which rows are learned from."""
+    small_batches(df)
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("trained"), F.col(text_col).alias("text"))
     learned = docs.filter("trained")
@@ -279,10 +277,7 @@ def score(df: DataFrame, training: Column, text_col: str = "text", id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        if name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[name] = Table(Trie(*model.value))
-        scorer, known_logs = _TABLES[name], top.value
+        scorer, known_logs = worker_state(("ppm", name), lambda: Table(Trie(*model.value))), top.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

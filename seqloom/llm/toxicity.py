@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage, worker_state
 
 MAX_TRAIN = 20_000
 MAX_FEATURES = 3_000
@@ -241,9 +241,6 @@ def train(rows: DataFrame) -> Model:
     return Model(chars, dict(zip(names, w, strict=True)), b)
 
 
-_RESTORERS: dict[str, Restorer] = {}
-
-
 def labelled(documents: DataFrame, labels: DataFrame, usable: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Training rows (id, text, toxic): at most about MAX_TRAIN, so the labels that are joined are few enough to broadcast."""
     from .common import bounded
@@ -258,14 +255,13 @@ def labelled(documents: DataFrame, labels: DataFrame, usable: Column, text_col:
 
 def score(documents: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", restored: bool = False) -> DataFrame:
     """id, score, predicted for each row; with restored also the disguised words as they were read."""
+    small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     name, kind = uuid.uuid4().hex, documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _RESTORERS:
-            _RESTORERS.clear()
-            _RESTORERS[name] = Restorer(shared.value.chars)
-        restorer, m = _RESTORERS[name], shared.value
+        m = shared.value
+        restorer = worker_state(("toxicity", name), lambda: Restorer(m.chars))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
