@@ -1,16 +1,16 @@
 """Toxicity scores of restored text: a noisy-channel decoder undoes leetspeak, spacing and repetition first.
 
-Decoder. A token that may be disguised (a digit or symbol beside or between letters, a letter three times in a row, or
-single characters spelled out one by one) becomes a lattice: each character may stand for itself, for a letter it looks
-like, or for nothing; a run of one letter may stand for one or two of it. Viterbi search finds the reading of highest
-probability under a character trigram model with word edges, the channel's costs included. All other tokens are taken as
+Decoder. A token that may be disguised (a digit or symbol among letters, a letter three times in a row, two doubled letters,
+or single characters spelled out one by one) becomes a lattice: each character may stand for itself, for a letter it looks
+like, or for nothing; a run of a letter may stand for one or two of it. Viterbi search finds the reading of highest
+probability under a character model with word edges, the channel's costs included. All other tokens are taken as
 they are. The character model is learned from the training texts.
 
 Score. A logistic regression over the restored words, learned from labelled training rows: the words that are most
 associated with either label (by log odds against their own uncertainty), each counted once per text.
 
-The model is fitted on at most MAX_TRAIN labelled rows, picked by a hash of the id, with at most MAX_FEATURES words; what is
-broadcast is bounded by these. Labels, languages, sources and ids are never inputs of a score.
+The model is fitted on at most MAX_TRAIN labelled rows, picked by a hash of the id, with at most MAX_FEATURES words and
+MAX_GRAMS character n-grams; what is broadcast is bounded by these. Labels, languages, sources and ids are never inputs of a score.
 
 Defined cases: null and empty texts have no words and get the score of the intercept. Rows without a label, and labels
 without a row, are not learned from; of several labels of one id the largest counts. If only one label or none was
@@ -34,40 +34,47 @@ from .common import small_batches, stage, worker_state
 
 MAX_TRAIN = 20_000
 MAX_FEATURES = 3_000
-#: A word needs this many training texts to become a feature.
-MIN_TEXTS = 4
+#: Letters with their contexts in the character model, the most frequent ones.
+MAX_GRAMS = 200_000
+#: A word needs this many training texts, and log odds this many standard errors from 0, to become a feature.
+MIN_TEXTS, MIN_Z = 4, 3.0
 THRESHOLD = 0.3
 #: Letters that a digit or symbol may stand for.
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "abcdefghijklmnopqrstuvwxyz"}
 #: Natural logs of the channel: a substitution, a character that stands for nothing, a run of three or more cut down, a pair
 #: cut down to one.
-SWAP, DROP, SHRINK, HALVE = -1.0, -3.0, -0.3, -2.0
+SWAP, DROP, SHRINK, HALVE = -1.0, -8.0, -0.3, -0.7
+#: The character model looks at this many letters before each.
+CONTEXT = 4
 EDGE = "\x02"
-DISGUISED = r"(?=.*\p{L})(?:.*[\p{L}][0-9@$!|+(€*]+[\p{L}].*|[0-9@$!|+(€*]+\p{L}.*|.*(\p{L})\1\1.*)"
+DISGUISED = r"(?=.*\p{L})(?:.*[0-9@$!|+(€*].*|.*(\p{L})\1\1.*|.*(\p{L})\2.*(\p{L})\3.*)"
 
 
 @dataclass
 class CharModel:
-    """Interpolated character trigrams over words with edges."""
+    """Interpolated character n-grams over words with edges, from counts of (CONTEXT letters, letter)."""
 
-    tri: Counter = field(default_factory=Counter)
+    grams: Counter = field(default_factory=Counter)
     memo: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        self.bi, self.uni, self.after, self.after2 = Counter(), Counter(), Counter(), Counter()
-        for (a, b, c), n in self.tri.items():
-            self.bi[b, c] += n
-            self.uni[c] += n
-            self.after[b] += n
-            self.after2[a, b] += n
-        self.total = sum(self.uni.values())
-
-    def log(self, a: str, b: str, c: str) -> float:
-        key = (a, b, c)
+        self.counts = [Counter() for _ in range(CONTEXT + 1)]
+        self.totals = [Counter() for _ in range(CONTEXT + 1)]
+        for gram, n in self.grams.items():
+            for j in range(CONTEXT + 1):
+                self.counts[j][gram[CONTEXT - j :]] += n
+                self.totals[j][gram[CONTEXT - j : CONTEXT]] += n
+
+    def log(self, before: str, letter: str) -> float:
+        key = before + letter
         if (got := self.memo.get(key)) is None:
-            p1 = (self.uni[c] + 0.1) / (self.total + 0.1 * (len(self.uni) + 1))
-            p2 = (self.bi[b, c] + 4 * p1) / (self.after[b] + 4)
-            got = self.memo[key] = math.log((self.tri[key] + 4 * p2) / (self.after2[a, b] + 4))
+            p = 1 / (len(self.counts[0]) + 50)
+            for j in range(CONTEXT + 1):
+                tail = before[len(before) - j :]
+                p = (self.counts[j][tail + letter] + 4 * p) / (self.totals[j][tail] + 4)
+            got = self.memo[key] = math.log(p)
+            if len(self.memo) > 500_000:
+                self.memo.clear()
         return got
 
 
@@ -92,20 +99,20 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The most probable reading of a token (Viterbi over the lattice; a state is the last two characters)."""
-    best: dict[tuple[str, str], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+    """The most probable reading of a token (Viterbi over the lattice; a state is the last CONTEXT characters)."""
+    best: dict[str, tuple[float, str]] = {EDGE * CONTEXT: (0.0, "")}
     for readings in lattice(token):
-        step: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+        step: dict[str, tuple[float, str]] = {}
+        for before, (score, text) in best.items():
             for reading, cost in readings:
-                s, x, y = score + cost, a, b
+                s, state = score + cost, before
                 for ch in reading:
-                    s += model.log(x, y, ch)
-                    x, y = y, ch
-                if (x, y) not in step or s > step[x, y][0]:
-                    step[x, y] = (s, text + reading)
+                    s += model.log(state, ch)
+                    state = state[1:] + ch
+                if state not in step or s > step[state][0]:
+                    step[state] = (s, text + reading)
         best = step
-    return max((s + model.log(a, b, EDGE), t) for (a, b), (s, t) in best.items())[1]
+    return max((s + model.log(state, EDGE), t) for state, (s, t) in best.items())[1]
 
 
 class Restorer:
@@ -123,14 +130,11 @@ class Restorer:
     def token(self, token: str) -> tuple[str, ...]:
         if len(self.memo) > 200_000:
             self.memo.clear()
-        edge = token.strip(".,;:?\"'“”…)]}>#%&*$!")
-        bare = edge if edge else token
-        if len(bare) <= 40 and self.disguised(bare):
-            words = (decode(bare, self.model), *self.letters(bare))
-        elif len(token) <= 40 and self.disguised(token):
-            words = (decode(token, self.model), *self.letters(token))
-        else:
-            words = tuple(self.letters(token))
+        bare = token.strip(".,;:?\"'“”…()[]{}<>")
+        core = bare.rstrip("!#%&*$")
+        readings = {core} if len(bare) - len(core) > 2 else {core, bare}
+        words = tuple(self.letters(token))
+        words += tuple(decode(r, self.model) for r in readings if 0 < len(r) <= 40 and self.disguised(r))
         self.memo[token] = words
         return words
 
@@ -160,15 +164,14 @@ def _char_model(rows: DataFrame) -> CharModel:
             counts: Counter = Counter()
             for t in batch.column(0).to_pylist():
                 for w, c in Counter(letters((t or "").lower())).items():
-                    s = EDGE + EDGE + w + EDGE
-                    for i in range(len(s) - 2):
-                        counts[s[i : i + 3], 0] += c
+                    s = EDGE * CONTEXT + w + EDGE
+                    for i in range(len(s) - CONTEXT):
+                        counts[s[i : i + CONTEXT + 1], 0] += c
             yield _emit(counts, ["key", "label", "c"])
 
-    # at most as many rows as there are trigrams of letters in use; rare ones add nothing to the estimates
     tri = rows.select("text").mapInArrow(run, "key string, label int, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    got = tri.orderBy(F.desc("c"), "key").limit(100_000).toArrow()
-    return CharModel(Counter({tuple(k): c for k, c in zip(got["key"].to_pylist(), got["c"].to_pylist(), strict=True)}))
+    got = tri.orderBy(F.desc("c"), "key").limit(MAX_GRAMS).toArrow()
+    return CharModel(Counter({k: c for k, c in zip(got["key"].to_pylist(), got["c"].to_pylist(), strict=True)}))
 
 
 @dataclass
@@ -194,7 +197,7 @@ def _fit(x: list[list[int]], y: list[int], n: int) -> tuple[list[float], float]:
     for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(x)) + b, -30, 30)))
         err = (p - target) / len(x)
-        g, gb = np.bincount(col, err[row], n) + 1e-5 * w, err.sum()
+        g, gb = np.bincount(col, err[row], n) + 1e-4 * w, err.sum()
         sq_w += g * g
         sq_b += gb * gb
         w -= 0.3 * g / np.sqrt(sq_w)
@@ -226,7 +229,7 @@ def train(rows: DataFrame) -> Model:
     )
     odds = F.log((F.col("c1") + 0.5) / F.lit(n1 + 1)) - F.log((F.col("c0") + 0.5) / F.lit(n0 + 1))
     sure = F.abs(odds) / F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5))
-    picked = words.filter(F.col("c0") + F.col("c1") >= MIN_TEXTS).withColumn("z", sure).orderBy(F.desc("z"), "key").limit(MAX_FEATURES)
+    picked = words.filter(F.col("c0") + F.col("c1") >= MIN_TEXTS).withColumn("z", sure).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "key").limit(MAX_FEATURES)
     names = [r["key"] for r in picked.select("key").collect()]
     at = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
 

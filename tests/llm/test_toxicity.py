@@ -3,7 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from seqloom.llm.registry import op1_toxicity
-from seqloom.llm.toxicity import EDGE, CharModel, Restorer, decode, labelled, score, train
+from seqloom.llm.toxicity import CONTEXT, EDGE, CharModel, Restorer, decode, labelled, score, train
 
 SF = "/root/testdata/sf0.1"
 PLAIN = "you are an idiot and a worthless moron the house is green and sunny today with loose boots on the table seven stairs letter bottle".split()
@@ -12,8 +12,8 @@ PLAIN = "you are an idiot and a worthless moron the house is green and sunny tod
 def model():
     tri = Counter()
     for w in PLAIN * 20:
-        s = EDGE + EDGE + w + EDGE
-        tri.update(tuple(s[i : i + 3]) for i in range(len(s) - 2))
+        s = EDGE * CONTEXT + w + EDGE
+        tri.update(s[i : i + CONTEXT + 1] for i in range(len(s) - CONTEXT))
     return CharModel(tri)
 
 
