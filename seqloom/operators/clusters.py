@@ -52,7 +52,11 @@ def _written(df: DataFrame, folder: str | None) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder or df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqloom-"))
-    return df.checkpoint()
+    kept = df.persist()  # else a checkpoint computes its rows twice
+    try:
+        return kept.checkpoint()
+    finally:
+        kept.unpersist()
 
 
 def order_statistic(column: str, share: float) -> Column:

@@ -51,11 +51,17 @@ def max_extended(reads: DataFrame, contigs: DataFrame, k: int, max_occ: int | No
 
 def smems(seeds: DataFrame) -> DataFrame:
     """Seeds whose query interval no other seed of the read encloses; equal intervals stay together."""
-    spans = seeds.select("read_id", "q", (F.col("q") + F.col("len")).alias("end")).distinct()
-    order = W.partitionBy("read_id").orderBy("q", F.desc("end"))
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    kept = spans.withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("end") > F.col("reach"))).select("read_id", "q", (F.col("end") - F.col("q")).alias("len"))
-    return seeds.join(kept, ["read_id", "q", "len"], "left_semi").select(*seeds.columns)
+    end = F.col("q") + F.col("len")
+    earlier = F.max(end).over(W.partitionBy("read_id").orderBy("q").rangeBetween(W.unboundedPreceding, -1))
+    here = F.max(end).over(W.partitionBy("read_id", "q"))
+    rows = seeds.withColumn("__earlier", earlier).withColumn("__here", here)
+    return rows.filter((end == F.col("__here")) & (F.col("__earlier").isNull() | (end > F.col("__earlier")))).select(*seeds.columns)
+
+
+def unique_positions(seeds: DataFrame) -> DataFrame:
+    """Seeds whose query interval has no other place."""
+    places = F.count(F.lit(1)).over(W.partitionBy("read_id", "q", "len"))
+    return seeds.withColumn("__n", places).filter("__n = 1").select(*seeds.columns)
 
 
 def dedupe(seeds: DataFrame) -> DataFrame:
@@ -88,8 +94,8 @@ def isolated_groups(seeds: DataFrame, axis: str, gap: int, least: int) -> DataFr
     order = W.partitionBy(*keys).orderBy("__s", "__e", "contig_id", "r", "fwd", "q")
     before = F.max("__e").over(order.rowsBetween(W.unboundedPreceding, -1))
     groups = placed.withColumn("__new", F.when(before.isNull() | (F.col("__s") > before + gap), 1).otherwise(0)).withColumn("__g", F.sum("__new").over(order))
-    heavy = groups.groupBy(*keys, "__g").agg(F.sum("len").alias("__nt")).filter(F.col("__nt") >= least)
-    return groups.join(heavy, [*keys, "__g"], "left_semi").select(*seeds.columns)
+    weight = F.sum("len").over(W.partitionBy(*keys, "__g"))
+    return groups.withColumn("__nt", weight).filter(F.col("__nt") >= least).select(*seeds.columns)
 
 
 def without_palindromes(seeds: DataFrame) -> DataFrame:

@@ -197,9 +197,7 @@ def palindrome_filter(spark, d):
 
 @register("unique_position_filter", sql(READS, CONTIGS, SEEDS, body=f"SELECT {COLS} FROM (SELECT *, count(*) OVER (PARTITION BY read_id, q, len) AS c FROM seeds) WHERE c = 1"))
 def unique_position_filter(spark, d):
-    s = seeds(spark, d)
-    alone = s.groupBy("read_id", "q", "len").agg(F.count(F.lit(1)).alias("c")).filter("c = 1")
-    return s.join(alone, ["read_id", "q", "len"], "left_semi").select(*s.columns)
+    return S.unique_positions(seeds(spark, d))
 
 
 # --- strips ---------------------------------------------------------------------------------------------------------
