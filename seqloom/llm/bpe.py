@@ -30,7 +30,7 @@ CHUNK_BYTES = 150_000
 #: Rows that one recursion may hold.
 STATE_ROWS = 2_000_000
 #: A worker remembers up to twice this many pieces; the half that it has not met for longest goes first.
-REMEMBER = 300_000
+REMEMBER = 500_000
 
 _CONTRACT = """
 WITH RECURSIVE state(w, i, tok, live, d) AS (
