@@ -59,6 +59,21 @@ def _written(df: DataFrame, folder: str | None) -> DataFrame:
         kept.unpersist()
 
 
+def combine(calls: DataFrame, keys: list[str], insert_gap: int, cell: int = 64) -> DataFrame:
+    """Overlapping calls of equal keys whose inserted sizes differ by at most insert_gap, merged transitively: bounding boxes with
+    summed support and the highest ambiguity, named after the smallest id."""
+    narrow = calls.select("id", *keys, "x", "y", "w", "h", "inserted_size")
+    alike = F.abs(F.col("a_inserted_size") - F.col("b_inserted_size")) <= insert_gap
+    pairs = box_join(narrow, narrow, intersects() & alike & (F.col("a_id") < F.col("b_id")), keys, cell=cell)
+    labels = components(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    named = calls.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    x1, y1 = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+    return named.groupBy(F.col("component").alias("id")).agg(
+        F.min("x").alias("x"), F.min("y").alias("y"), (x1 - F.min("x")).alias("w"), (y1 - F.min("y")).alias("h"), F.sum("reads").alias("reads"), F.sum("nt").alias("nt"),
+        F.max("ambiguity").alias("ambiguity"), F.count(F.lit(1)).alias("n"),
+    )
+
+
 def order_statistic(column: str, share: float) -> Column:
     """The value at floor(n * share) of the sorted values of a group."""
     values = F.sort_array(F.collect_list(column))

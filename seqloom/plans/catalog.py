@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: Modules that register their queries when they are imported.
-MODULES: tuple[str, ...] = ("q_sequence", "q_seeds", "q_align", "q_sv", "q_store")
+MODULES: tuple[str, ...] = ("q_sequence", "q_seeds", "q_align", "q_sv", "q_store", "q_more")
 
 
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
