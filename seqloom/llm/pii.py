@@ -1,7 +1,8 @@
 """Personal data replaced by format-preserving pseudonyms from a keyed Feistel network.
 
 Values are found by pattern and then validated: card numbers (13 to 19 digits, Luhn), IBANs (modulo 97), US social security
-numbers, phone numbers, IPv4 addresses, e-mail addresses, dates in ISO, slash and dot order, and hexadecimal secrets after
+numbers, phone numbers (with a plus or brackets any, else such as
+the North American plan allows), IPv4 addresses, e-mail addresses, dates in ISO, slash and dot order, and hexadecimal secrets after
 a word like token or key. What fails its validation stays as it is. Each value is brought to a canonical number, permuted
 within its own domain (rounds keyed by BLAKE2, walking on until the result is valid again), and written in the format it
 came in: separators, letter case and lengths stay, check digits are recomputed. The permutation depends on the key and the
@@ -167,13 +168,17 @@ def pseudonym(p: Permuter, kind: str, text: str, back: bool = False) -> str | No
     if kind == "phone":
         north = "(" in text or not text.startswith("+")
         body = digits[-10:] if north else digits[-7:]
-        if north:
-            ok = lambda x: x // 10**9 > 1 and x // 10**6 % 10 > 1
+        plan = lambda x: x // 10**9 > 1 and x // 10**6 % 10 > 1  # noqa: E731  area and exchange begin with 2 to 9
+        if not 8 <= len(digits) <= 15:
+            return None
+        if not north:
+            number = p.walk(int(body), 10 ** len(body), "phone-local:" + digits[: -len(body)], back=back)
+        elif plan(int(body)):
+            number = p.walk(int(body), 10**10, "phone", plan, back)
+        elif "(" in text or text.startswith("+"):  # written as a phone number, if in no area that exists
+            number = p.walk(int(body), 10**10, "phone-elsewhere", lambda x: not plan(x), back)
         else:
-            ok = lambda x: True
-        if not 8 <= len(digits) <= 15 or not ok(int(body)):
             return None
-        number = p.walk(int(body), 10 ** len(body), "phone" if north else "phone-local:" + digits[: -len(body)], ok, back)
         return _refill(text, digits[: -len(body)] + f"{number:0{len(body)}d}")
     if kind == "card":
         if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:

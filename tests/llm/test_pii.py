@@ -41,8 +41,11 @@ def test_format_links_and_reverse(kind):
 
 def test_validation():
     assert luhn("4539148803436467")
-    for text in ("4539148803436468", "1234567890123456789012", "2023-02-30", "999.1.1.1", "000-12-3456", "token f3ef", "version 1.2.3", "page 12", "0.5", "(123) 555-1234", "DE88370400440532013000"):
+    for text in ("4539148803436468", "1234567890123456789012", "2023-02-30", "999.1.1.1", "000-12-3456", "token f3ef", "version 1.2.3", "page 12", "0.5", "123-555-1234", "DE88370400440532013000"):
         assert pseudonymise(P, f"x {text} y") == (f"x {text} y", []), text
+    assert pseudonymise(P, "call (123) 555-1234")[1] == pseudonymise(P, "call +1 (017) 555-7713")[1] == ["phone"]
+    one, two = (pseudonymise(P, t)[0][-8:] for t in ("+1 (123) 555-1234", "(123) 555-1234"))
+    assert one == two
     out = pseudonymise(P, "card 4539148803436467 iban DE89370400440532013000 on 31.12.1999 or 12/31/1999 or 31/12/1999")[0].split()
     assert luhn(out[1]) and _iban_number(out[3]) % 97 == 1
     day = datetime.datetime.strptime(out[5], "%d.%m.%Y").date()
