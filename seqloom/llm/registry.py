@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, exact_dedup, langid, license_scan, line_dedup, ngram_join, pii, ppm, toxicity
 from .common import held_out, table
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+    return dict(ORACLES)
