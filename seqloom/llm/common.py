@@ -31,18 +31,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
 _WORKER: dict[tuple, object] = {}
 
 
+def clear_worker() -> None:
+    """Forget what this Python worker kept for another operator, and give the memory back."""
+    import ctypes
+    import gc
+
+    if not _WORKER:
+        return
+    _WORKER.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc: the allocator gives memory back as it likes
+        pass
+
+
 def worker_state(key: tuple, build):
     """What a Python worker keeps from task to task. It keeps one thing only: another operator's state goes first."""
     if key not in _WORKER:
-        import ctypes
-        import gc
-
-        _WORKER.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc: the allocator gives memory back as it likes
-            pass
+        clear_worker()
         _WORKER[key] = build()
     return _WORKER[key]
 

@@ -40,6 +40,7 @@ def _heavy(rows: DataFrame, total: int) -> DataFrame:
         SELECT inline(top), n FROM (
             SELECT approx_top_k(digest, {int(1 / SUPPORT)}, {COUNTERS}) AS top, count(*) AS n
             FROM {view} GROUP BY pmod(shiftright(rid, 33), {MERGERS}))""")
+    rows.sparkSession.catalog.dropTempView(view)
     likely = top.filter(F.col("count") >= F.col("n") * SUPPORT).select(F.col("item").alias("digest")).distinct()
     return _winners(rows.join(F.broadcast(likely), "digest", "left_semi")).filter(F.col("group_size") >= least)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, stage, worker_state
+from .common import clear_worker, held_out, small_batches, stage, worker_state
 
 MAX_TRAIN = 20_000
 MAX_WORDS = 100_000
@@ -115,6 +115,8 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        clear_worker()
+
         runs = regex.compile(r"\p{L}+").findall
         for batch in batches:
             counts: Counter = Counter()
@@ -127,6 +129,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 def _gram_counts(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         for batch in batches:
             counts: Counter = Counter()
             for lang, word, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, worker_state
+from .common import clear_worker, small_batches, stage, worker_state
 
 ORDER = 5
 MAX_NODES = 3_000_000
@@ -94,6 +94,7 @@ def gather(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        clear_worker()
         parts, held = [], 0
         for batch in batches:
             for chunk in _chunks(batch.column(0).to_pylist()):
@@ -243,6 +244,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over texts(text): ASCII-lower-cased words as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         counts: Counter = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

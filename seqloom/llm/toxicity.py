@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, worker_state
+from .common import clear_worker, small_batches, stage, worker_state
 
 MAX_TRAIN = 20_000
 MAX_FEATURES = 3_000
@@ -159,6 +159,8 @@ def _char_model(rows: DataFrame) -> CharModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        clear_worker()
+
         letters = regex.compile(r"\p{L}+").findall
         for batch in batches:
             counts: Counter = Counter()
@@ -212,6 +214,7 @@ def train(rows: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         restorer = Restorer(shared.value)
         for batch in batches:
             counts: Counter = Counter()
