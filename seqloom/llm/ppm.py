@@ -9,8 +9,9 @@ follower), and the followers of a context are excluded from the shorter ones (sy
 last resort is a uniform choice among the 256 bytes and the end. Each text starts in a context of start marks, and
 ends with an end mark, so that scores are probabilities of whole texts. The trie is pretrained; scoring doesn't change it.
 
-The trie holds at most MAX_NODES (context, byte) pairs of the longest order, the most frequent ones, and the pairs below
-them; that bounds what is broadcast. Below that bound nothing is left out.
+The trie is a set of tables, one for each order (``levels``), and holds every counted pair. Each distinct (context, byte) pair
+of the texts gets its log probability once by joins with them (``logs``). The MAX_NODES most frequent pairs of the texts
+are looked up map-side, all others by a join on the pair; both have the same values, so the bound changes no score.
 
 The base score is a smoothed unigram model of words; its counts cover all training tokens. The TOP most frequent words are
 looked up map-side, all others by a join on the word, so that no vocabulary need fit into memory.
@@ -31,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_worker, small_batches, stage, worker_state
+from .common import bounded, clear_worker, small_batches, stage, worker_state
 
 ORDER = 5
+#: Pairs whose log probabilities are broadcast, and about as many counts are held by a worker.
 MAX_NODES = 3_000_000
 #: Words whose counts are broadcast.
 TOP = 200_000
@@ -84,8 +86,8 @@ def _merged(parts: list) -> tuple:
     return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
 
-def gather(texts: DataFrame) -> DataFrame:
-    """(key, c): counts of the symbols after their longest contexts, over all rows of texts(text)."""
+def _partial(texts: DataFrame) -> DataFrame:
+    """(key, c): counts of the symbols after their longest contexts, to be summed by key."""
 
     def batch_of(parts: list) -> pa.RecordBatch:
         keys, counts = _merged(parts)
@@ -109,11 +111,72 @@ def gather(texts: DataFrame) -> DataFrame:
         if parts:
             yield batch_of(parts)
 
-    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "key long, c long")
+
+
+def gather(docs: DataFrame) -> DataFrame:
+    """(key, c, n): of each pair of docs(text, trained) its counts in the training texts (0 for unseen ones) and in all texts."""
+    learned = _partial(docs.filter("trained")).select("key", "c", F.col("c").alias("n"))
+    others = _partial(docs.filter(~F.col("trained"))).select("key", F.lit(0).cast("long").alias("c"), F.col("c").alias("n"))
+    return learned.unionByName(others).groupBy("key").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def _low(key: str, order: int) -> Column:
+    """Of a packed key, the last symbol and `order` symbols before it."""
+    return F.col(key).bitwiseAND(F.lit((1 << (BITS * (order + 1))) - 1).cast("long"))
+
+
+def levels(pairs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """By order: pairs (key, c), and contexts (ctx, total, kinds, t, q). t and q are the occurrences and distinct followers of the
+    next shorter context without the followers of ctx. pairs(key, c): those of the longest order."""
+    keys = [pairs]
+    for j in range(ORDER - 1, -1, -1):
+        keys.insert(0, stage(keys[0].groupBy(_low("key", j).alias("key")).agg(F.count(F.lit(1)).alias("c")), f"pairs{j}"))
+    contexts: list[DataFrame] = []
+    for j, k in enumerate(keys):
+        own = k.withColumn("ctx", F.shiftright("key", BITS))
+        if j:
+            below = keys[j - 1].select(F.col("key").alias("low"), F.col("c").alias("below"))
+            shorter = contexts[j - 1].select(F.col("ctx").alias("s_ctx"), F.col("total").alias("s_total"), F.col("kinds").alias("s_kinds"))
+            own = own.withColumn("low", _low("key", j - 1)).join(bounded(below, 32), "low")
+            own = own.groupBy("ctx").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("below").alias("gone"))
+            own = own.withColumn("s_ctx", _low("ctx", j - 2)).join(bounded(shorter, 48), "s_ctx")
+            own = own.select("ctx", "total", "kinds", (F.col("s_total") - F.col("gone")).alias("t"), (F.col("s_kinds") - F.col("kinds")).alias("q"))
+        else:
+            none = F.lit(None).cast("long")
+            own = own.groupBy("ctx").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).withColumns({"t": none, "q": none})
+        contexts.append(stage(own, f"contexts{j}"))
+    return keys, contexts
+
+
+def logs(counts: DataFrame) -> DataFrame:
+    """(key, n, log): log10 probability of each pair's symbol after its context, for the rows of gather()."""
+    keys, contexts = levels(counts.filter("c > 0").select("key", "c"))
+    top = contexts[ORDER].select("ctx", "total")
+    seen = counts.filter("c > 0").withColumn("ctx", F.shiftright("key", BITS)).join(bounded(top, 32), "ctx")
+    seen = seen.select("key", "n", F.log10((F.col("c") - 0.5) / F.col("total")).alias("log"))
+    # t and q: of the context at hand, without the followers of the longer one, if that was known
+    none = F.lit(None).cast("long")
+    rest = counts.filter("c = 0").select("key", "n", F.lit(0.0).alias("log"), F.lit(False).alias("found"), none.alias("t"), none.alias("q"))
+    for j in range(ORDER, -1, -1):
+        pair = keys[j].select(F.col("key").alias("low"), F.col("c").alias("hit"))
+        ctx = contexts[j].select("ctx", "total", "kinds", F.col("t").alias("next_t"), F.col("q").alias("next_q"))
+        rest = rest.withColumns({"low": _low("key", j), "ctx": F.shiftright(_low("key", j), BITS)})
+        rest = rest.withColumn("hit", none) if j == ORDER else rest.join(bounded(pair, 32), "low", "left")
+        t, q = F.coalesce("t", "total"), F.coalesce("q", "kinds")
+        open_ = ~F.col("found") & (q > 0)  # a context whose followers are all excluded is left at no cost
+        step = F.when(F.col("hit").isNotNull(), F.log10((F.col("hit") - 0.5) / t)).otherwise(F.log10(q / (2 * t)))
+        rest = rest.join(bounded(ctx, 64), "ctx", "left").select(
+            "key", "n", (F.col("log") + F.when(open_, step).otherwise(0.0)).alias("log"),
+            (F.col("found") | F.coalesce(open_ & F.col("hit").isNotNull(), F.lit(False))).alias("found"),
+            F.col("next_t").alias("t"), F.col("next_q").alias("q"),
+        )
+    last = math.log10(max(1, END + 1 - keys[0].count()))  # uniform over the symbols that never occurred
+    return seen.unionByName(rest.select("key", "n", (F.col("log") - F.when(F.col("found"), 0.0).otherwise(last)).alias("log")))
 
 
 class Trie:
-    """The context trie as sorted arrays: for each order its pairs (context and symbol, packed) and its contexts."""
+    """The trie as sorted arrays in one process, which tests hold against plain Python: for each order its pairs and its contexts."""
 
     def __init__(self, keys, counts):
         import numpy as np
@@ -182,16 +245,14 @@ class Trie:
 
 
 class Table:
-    """The model for scoring: the pairs of the longest order with their log10, found by hashes; all else by the trie."""
+    """Log probabilities of the most frequent pairs, found by hashes."""
 
     MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
-    def __init__(self, trie: Trie):
+    def __init__(self, keys, logs):
         import numpy as np
 
-        self.trie, self.levels = trie, []
-        keys = trie.keys[ORDER]
-        logs = trie.log10(keys)
+        self.levels = []
         for m in self.MULTIPLIERS:  # keys that lose their slot to another go to the next, smaller table
             if not len(keys):
                 break
@@ -202,6 +263,8 @@ class Table:
             self.levels.append((m, shift, slot_key, slot_log))
             lost = slot_key[at] != keys
             keys, logs = keys[lost], logs[lost]
+        order = np.argsort(keys)
+        self.keys, self.logs = keys[order], logs[order]
 
     @staticmethod
     def _slot(keys, multiplier, shift):
@@ -210,34 +273,44 @@ class Table:
         return ((keys.view(np.uint64) * np.uint64(multiplier)) >> np.uint64(shift)).view(np.int64)
 
     def score(self, texts: list[bytes]):
-        """log10 probability of each text with its end mark."""
+        """(log10, rare, owner): for each text the log10 probability of its pairs in the table; the other pairs, the text each is in."""
         import numpy as np
 
         keys, which = packed(texts)
-        logs, todo, rest = np.zeros(len(keys)), None, keys
+        logs, todo = np.zeros(len(keys)), np.arange(len(keys))
         for m, shift, slot_key, slot_log in self.levels:
+            rest = keys[todo]
             at = self._slot(rest, m, shift)
             ok = slot_key[at] == rest
-            if todo is None:
-                logs = np.where(ok, slot_log[at], 0.0)
-                todo = np.flatnonzero(~ok)
-            else:
-                logs[todo[ok]] = slot_log[at[ok]]
-                todo = todo[~ok]
-            rest = keys[todo]
-        if len(rest):
-            distinct, back = np.unique(rest, return_inverse=True)
-            logs[slice(None) if todo is None else todo] = self.trie.log10(distinct)[back]
-        return np.bincount(which, logs, len(texts))
+            logs[todo[ok]] = slot_log[at[ok]]
+            todo = todo[~ok]
+        at, ok = Trie._find(self.keys, keys[todo])
+        logs[todo[ok]] = self.logs[at[ok]]
+        todo = todo[~ok]
+        return np.bincount(which, logs, len(texts)), keys[todo], which[todo]
+
+
+def _lists(keys, owner, texts: int):
+    """(ends, keys, times): for each text its distinct keys and how often each occurs; ends[i] is where text i's end."""
+    import numpy as np
+
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])][: len(keys)])
+    return np.searchsorted(owner[new], np.arange(texts), "right"), keys[new], np.diff(np.r_[new, len(keys)])
 
 
-def train(texts: DataFrame) -> tuple:
-    """(keys, counts) of the longest order: at most MAX_NODES rows reach the driver, in one Arrow table."""
-    counts = stage(gather(texts), "contexts")
-    if counts.count() > MAX_NODES:
-        counts = counts.orderBy(F.desc("c"), "key").limit(MAX_NODES)
-    got = counts.toArrow()
-    return got["key"].to_numpy(), got["c"].to_numpy()
+def train(docs: DataFrame) -> tuple[tuple, DataFrame]:
+    """((keys, logs), rest) for docs(text, trained): the at most MAX_NODES most frequent pairs, in one Arrow table, and all others."""
+    every = stage(logs(stage(gather(docs), "counts")), "logs")
+    least, held = 1, 0
+    for n, pairs in sorted(every.groupBy("n").count().collect(), reverse=True):
+        held += pairs
+        if held > MAX_NODES:
+            least = n + 1
+            break
+    got = every.filter(F.col("n") >= least).select("key", F.col("log").cast("float").alias("log")).toArrow()
+    return (got["key"].to_numpy(), got["log"].to_numpy()), every.filter(F.col("n") < least).select("key", "log")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -264,7 +337,8 @@ def score(df: DataFrame, training: Column, text_col: str = "text", id_col: str =
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("trained"), F.col(text_col).alias("text"))
     learned = docs.filter("trained")
-    model = spark.sparkContext.broadcast(train(learned))
+    held, rest = train(docs)
+    model = spark.sparkContext.broadcast(held)
 
     counts = stage(word_counts(learned), "word_counts")
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -279,7 +353,7 @@ def score(df: DataFrame, training: Column, text_col: str = "text", id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        scorer, known_logs = worker_state(("ppm", name), lambda: Table(Trie(*model.value))), top.value
+        scorer, known_logs = worker_state(("ppm", name), lambda: Table(*model.value)), top.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -297,12 +371,17 @@ def score(df: DataFrame, training: Column, text_col: str = "text", id_col: str =
                             known += m
                             total += m * one
                     n_tokens.append(all_), n_known.append(known), base.append(total), ends_at.append(len(rare))
-                found = np.concatenate([scorer.score(c) for c in _chunks(texts)])
-                offsets = pa.array(ends_at, pa.int32())
+                found, pairs, pair_times, pairs_at = [], [], [], [np.zeros(1, np.int64)]
+                for c in _chunks(texts):
+                    logs_, keys, owner = scorer.score(c)
+                    to, keys, m = _lists(keys, owner, len(c))
+                    found.append(logs_), pairs.append(keys), pair_times.append(m), pairs_at.append(to + pairs_at[-1][-1])
+                offsets, pair_offsets = pa.array(ends_at, pa.int32()), pa.array(np.concatenate(pairs_at), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(rare, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(found), *lists], names=["id", "trained", "n", "known", "base", "score", "rare", "times"])
+                lists += [pa.ListArray.from_arrays(pair_offsets, pa.array(np.concatenate(x), pa.int64())) for x in (pairs, pair_times)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(found)), *lists], names=["id", "trained", "n", "known", "base", "score", "rare", "times", "pairs", "pair_times"])
 
-    schema = f"id {kind}, trained boolean, n long, known long, base double, score double, rare array<binary>, times array<long>"
+    schema = f"id {kind}, trained boolean, n long, known long, base double, score double, rare array<binary>, times array<long>, pairs array<long>, pair_times array<long>"
     rows = stage(docs.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "scores")
     each = rows.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("rid", F.col("e.rare").alias("word"), F.col("e.times").alias("m"))
     c = F.coalesce("c", F.lit(0))
@@ -311,12 +390,14 @@ def score(df: DataFrame, training: Column, text_col: str = "text", id_col: str =
         .groupBy("rid")
         .agg(F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("k"), F.sum(F.col("m") * F.log10((c + 0.1) / F.lit(size))).alias("b"))
     )
-    return rows.join(more, "rid", "left").select(
+    each = rows.select("rid", F.explode(F.arrays_zip("pairs", "pair_times")).alias("e")).select("rid", F.col("e.pairs").alias("key"), F.col("e.pair_times").alias("m"))
+    added = each.join(rest, "key").groupBy("rid").agg(F.sum(F.col("m") * F.col("log")).alias("s"))
+    return rows.join(more, "rid", "left").join(added, "rid", "left").select(
         F.col("id").alias(id_col),
         "trained",
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
     )

@@ -98,6 +98,17 @@ def test_rare_words_take_the_join(spark, monkeypatch):
     assert {r.doc_id: (r.n_known, round(r.base_score, 9)) for r in ppm.score(df, F.col("doc_id") < 6).collect()} == want
 
 
+def test_pairs_beyond_the_broadcast_keep_their_scores(spark, monkeypatch):
+    """MAX_NODES bounds what is broadcast, not the model."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    learn = F.col("doc_id") % 3 != 0
+    counts = brute_model([t for i, t in enumerate(TEXTS) if i % 3])
+    for nodes in (0, 3, 20):
+        monkeypatch.setattr(ppm, "MAX_NODES", nodes)
+        got = {r.doc_id: r.score for r in ppm.score(df, learn).collect()}
+        assert got == pytest.approx({i: brute_score(counts, t) for i, t in enumerate(TEXTS)}, rel=1e-6)
+
+
 def test_beats_the_base_on_held_out_documents(spark):
     """On 20 MB of text. On the 2 MB of sf0.01 the two are level: its base is -124,279 and its score about -124,550."""
     got = op8_ppm_score(spark, "/root/testdata/sf0.1").collect()
