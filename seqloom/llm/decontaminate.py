@@ -5,7 +5,8 @@ words themselves in lower case. Windows of WINDOW canonical tokens of the benchm
 windows of the documents. For a document and an item, windows at the same shift form an alignment; what its slots hold is
 compared: each number, unit or name of the item must stand for one value in the document throughout, or the alignment
 does not count. A re-parameterised question so matches like a verbatim one. A pair is contaminated if consistent
-alignments cover at least COVER of the item's windows, or LONG tokens in a row.
+alignments cover at least COVER of the item's windows, or if LONG equal tokens in a row hold a window that was found and
+have consistent slots, whatever stands elsewhere in the alignment.
 
 Defined cases: null and empty texts match nothing. Items with fewer than WINDOW tokens are one window of their own
 length; items with fewer than SHORT tokens or only of slots cannot be told apart and match nothing. Equal items match
@@ -112,21 +113,35 @@ def find(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", id_
     lo, hi = F.array_min("seen"), F.array_max("seen") + F.col("size") - 1
     both = aligned.withColumnRenamed("id", "a_id").join(again, F.col("a_id").eqNullSafe(F.col("id"))).join(bounded(totals, 4096), "item")
     pairs = F.transform(
-        F.sequence(lo, hi),
+        F.sequence(F.lit(0), F.size("i_words") - 1),
         lambda p: F.struct(
-            F.lower(F.get("i_words", p)).alias("a"), F.lower(F.get("d_words", p + F.col("shift"))).alias("b"),
+            p.alias("p"), F.lower(F.get("i_words", p)).alias("a"), F.lower(F.get("d_words", p + F.col("shift"))).alias("b"),
             F.get("i_canon", p).alias("x"), F.get("d_canon", p + F.col("shift")).alias("y"),
         ),
     )
-    slots = F.filter(pairs, lambda s: (s["x"] == s["y"]) & s["x"].startswith("<"))
-    values = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["x"], *[s[k] for k in names]))))
-    checked = (
-        both.withColumn("slots", slots)
-        .withColumn("verbatim", ~F.exists("slots", lambda s: s["a"] != s["b"]))
-        .filter(values("a") == values("a", "b"))
+    both = both.withColumn("pairs", pairs).withColumns({"lo": lo, "hi": hi})
+    # runs: stretches of equal canonical tokens between two breaks that hold a window that was found
+    unlike = F.transform(F.filter("pairs", lambda s: ~s["x"].eqNullSafe(s["y"])), lambda s: s["p"])
+    both = both.withColumn("breaks", F.concat(F.array(F.lit(-1)), unlike, F.array(F.size("i_words"))))
+    runs = F.transform(F.sequence(F.lit(1), F.size("breaks") - 1), lambda k: F.struct((F.get("breaks", k - 1) + 1).alias("lo"), (F.get("breaks", k) - 1).alias("hi")))
+    both = both.withColumn("runs", F.filter(runs, lambda r: F.exists("seen", lambda i: (i >= r["lo"]) & (i + F.col("size") - 1 <= r["hi"]))))
+
+    def checked(lo: Column, hi: Column) -> Column:
+        """(n_tokens, consistent, verbatim) of the slots from lo to hi."""
+        slots = F.filter("pairs", lambda s: (s["p"] >= lo) & (s["p"] <= hi) & (s["x"] == s["y"]) & s["x"].startswith("<"))
+        values = lambda *names: F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["x"], *[s[k] for k in names]))))
+        return F.struct((hi - lo + 1).alias("n_tokens"), (values("a") == values("a", "b")).alias("consistent"), (~F.exists(slots, lambda s: s["a"] != s["b"])).alias("verbatim"))
+
+    both = both.withColumn("whole", checked(F.col("lo"), F.col("hi"))).withColumn("runs", F.filter(F.transform("runs", lambda r: checked(r["lo"], r["hi"])), lambda r: r["consistent"]))
+    # an alignment that is inconsistent as a whole counts by its long consistent runs only, which cover no windows
+    long_runs = F.filter("runs", lambda r: r["n_tokens"] >= LONG)
+    consistent = F.col("whole.consistent")
+    per = both.filter(consistent | (F.size(long_runs) > 0)).select(
+        "id", "item", "n_windows",
+        F.when(consistent, F.col("whole.verbatim")).otherwise(~F.exists(long_runs, lambda r: ~r["verbatim"])).alias("verbatim"),
+        F.array_max(F.transform("runs", lambda r: r["n_tokens"])).alias("run"),
+        F.explode_outer(F.when(consistent, F.col("seen"))).alias("i"),
     )
-    run = F.col("size") + F.size("seen") - 1
-    per = checked.select("id", "item", "n_windows", "verbatim", F.when(hi - lo + 1 == run, run).otherwise(F.col("size")).alias("run"), F.explode("seen").alias("i"))
     return (
         per.groupBy("id", "item")
         .agg(
