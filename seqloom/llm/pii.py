@@ -3,11 +3,13 @@
 Values are found by pattern and then validated: card numbers (13 to 19 digits, Luhn), IBANs (modulo 97), US social security
 numbers, phone numbers (with a plus or brackets any, else such as
 the North American plan allows), IPv4 addresses, e-mail addresses, dates in ISO, slash and dot order, and hexadecimal secrets after
-a word like token or key. What fails its validation stays as it is. Each value is brought to a canonical number, permuted
+a word like token or key. What fails its validation is tried again without its last group, as long as a group is
+left, and stays as it is if no part is valid; the search goes on after what was taken. Each value is brought to a canonical number, permuted
 within its own domain (rounds keyed by BLAKE2, walking on until the result is valid again), and written in the format it
 came in: separators, letter case and lengths stay, check digits are recomputed. The permutation depends on the key and the
 kind alone, so equal values have equal pseudonyms in all documents, different ones different ones, and whoever has
-the key can turn them back (``restore``).
+the key can turn them back (``restore``). The exception: a value found in front of groups that its pseudonym would be read
+together with as one longer value (one in ten of card numbers before other digits) is permuted again until it is not.
 
 Defined cases: null stays null with no values found; texts without values are returned unchanged, byte for byte. Repeated
 rows give equal results; extra columns are ignored. Overlapping candidates are taken from left to right, the longest
@@ -43,7 +45,8 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 )
 SECRET_WORD = re.compile(r"(?i)(?:token|key|secret|password|passwd|pwd)\W{0,6}$")
-MAY_HOLD = re.compile(r"\d{3}|\d[./-]\d|@")
+#: Every pattern implies one of these: two digits with at most two separators between them, an @, or a secret's length.
+MAY_HOLD = re.compile(r"\d[ ./()-]{0,2}\d|@|[0-9a-fA-F]{32}")
 
 
 class Permuter:
@@ -197,28 +200,60 @@ def pseudonym(p: Permuter, kind: str, text: str, back: bool = False) -> str | No
     raise ValueError(kind)
 
 
+def _prefixes(kind: str, raw: str) -> Iterator[str]:
+    """The candidate and, of kinds that are written in groups, its shorter prefixes that end at a group's border."""
+    yield raw
+    if kind in ("card", "iban", "phone"):
+        for m in reversed(list(re.finditer(r"[ .-]", raw))):
+            yield raw[: m.start()]
+
+
+def _first(p: Permuter, kind: str, raw: str) -> tuple[str, int] | None:
+    """The kind and length of the longest valid value that the candidate begins with."""
+    for part in _prefixes(kind, raw):
+        for k in (kind, "card") if kind == "phone" else (kind,):  # digits with a plus or dots may still be a card
+            if pseudonym(p, k, part) is not None:
+                return k, len(part)
+    return None
+
+
 def pseudonymise(p: Permuter, text: str | None, back: bool = False) -> tuple[str | None, list[str]]:
     """The text with its values replaced, and their kinds in order."""
     if not text or not MAY_HOLD.search(text):
         return text, []
     kinds: list[str] = []
 
-    def put(m: re.Match) -> str:
+    def put(m: re.Match) -> tuple[str, int]:
+        """What stands for the match, and the end of what it replaces; that is the start of the match if no value was found."""
         kind, raw = m.lastgroup, m[0]
         if kind == "secret" and not SECRET_WORD.search(text, max(0, m.start() - 24), m.start()):
-            return raw
-        tail = ""
+            return "", m.start()
         if kind == "email":
-            raw, tail = raw.rstrip(".-"), raw[len(raw.rstrip(".-")) :]
-        got = pseudonym(p, kind, raw, back)
-        if got is None and kind == "phone":  # digits with a plus or dots may still be a card
-            got, kind = pseudonym(p, "card", raw, back), "card"
-        if got is None:
-            return m[0]
-        kinds.append(kind)
-        return got + tail
-
-    return PATTERN.sub(put, text), kinds
+            raw = raw.rstrip(".-")
+        whole = pseudonym(p, kind, raw, back)
+        if whole is not None:
+            kinds.append(kind)
+            return whole, m.start() + len(raw)
+        found = _first(p, kind, raw)
+        if not found:
+            return "", m.start()
+        k, n = found
+        got = pseudonym(p, k, raw[:n], back)
+        # walks on while the pseudonym and the groups after it would be read as another value
+        while _first(p, kind, got + raw[n:]) != found:
+            got = pseudonym(p, k, got, back)
+        kinds.append(k)
+        return got, m.start() + n
+
+    out, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        got, end = put(m)
+        if end > m.start():
+            out += [text[done : m.start()], got]
+            done = at = end
+        else:  # nothing of it is a value
+            at = m.end()
+    return "".join([*out, text[done:]]), kinds
 
 
 def _mapped(df: DataFrame, key: bytes, text_col: str, id_col: str, back: bool) -> DataFrame:
