@@ -12,6 +12,8 @@ Defined cases: null and empty texts match nothing. Items with fewer than WINDOW
 length; items with fewer than SHORT tokens or only of slots cannot be told apart and match nothing. Equal items match
 alike. Documents with one id count as one. Extra columns are ignored by ``find`` and kept by ``drop_contaminated``.
 Whole texts are read; a passage may stand anywhere and any number of times.
+Known miss: a token with a capital first letter is `<name>` in item and document separately, so a copy whose letter case was
+changed gives other windows and may not be found (an upper-cased one never is).
 """
 
 from __future__ import annotations
