@@ -9,14 +9,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if its counted rows times its row width stay below this.
-BROADCAST_BYTES = 32 << 20
+#: A side of a join is broadcast only if its measured size stays below this.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset, in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -85,9 +87,37 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 
 
 def bounded(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if its counted size is below BROADCAST_BYTES, else df as it is (a shuffle join)."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
+    """df with a broadcast hint if its measured size is below BROADCAST_BYTES, else df as it is (a shuffle join).
+
+    The size is that of the rows, row_bytes each, and of the texts in them.
+    """
+    if rows is not None:
+        size = rows * row_bytes
+    else:
+        texts = [F.sum(F.length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+        got = df.agg(F.count(F.lit(1)), *texts).first()
+        size = got[0] * row_bytes + sum(x or 0 for x in got[1:])
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    """A hash that tells the texts of rows with one id apart."""
+    return F.xxhash64(text)
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df but those whose id and text_key are in gone(id, th). Null ids are ids like any other."""
+    a, b = fresh(df, "gone_id"), fresh(df, "gone_th")
+    gone = stage(gone.select(F.col("id").alias(a), F.col("th").alias(b)).distinct(), "gone")
+    return df.join(bounded(gone, 64), F.col(id_col).eqNullSafe(F.col(a)) & (text_key(F.col(text_col)) == F.col(b)), "left_anti")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Texts are equal when they are identical after every character of ``[\\x20\\x09-\\x0D]`` is deleted. Frequent digests are
 found by a Misra-Gries type summary (approx_top_k: bounded counters, merged over tasks), counted exactly, and their
-winners, at most 1 / SUPPORT rows, are broadcast: rows of these groups never meet in one task. All other digests are
-grouped by an ordinary shuffle of (digest, winner) pairs, combined before it.
+winners, at most 1 / SUPPORT rows, are broadcast: rows of these groups never meet in one task. The winners of all other
+digests come from an ordinary shuffle, combined before it. Of these, those of groups with a share of 1 / MANY of all rows, at
+most MANY, are broadcast to their rows too; only smaller groups meet their winner in a shuffle join.
 
 Defined cases: null text counts as empty, so null, empty and blank texts form one group. Of equal texts the one with the
 most code points stays, then the smallest id; a null id loses to any other; of rows equal in both, exactly one stays.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stage
+from .common import bounded, fresh, stage
 
 #: A digest that makes up at least this share of all rows is handled map-side.
 SUPPORT = 1 / 1000
@@ -25,6 +26,8 @@ COUNTERS = 4096
 #: Groups of tasks whose summaries are merged. A digest with SUPPORT of all rows has it in one group at least, so at most
 #: MERGERS / SUPPORT candidates are verified.
 MERGERS = 16
+#: Groups that have at least 1 / MANY of all rows get their winner by a broadcast.
+MANY = 50_000
 
 
 def text_digest(text: Column) -> Column:
@@ -62,11 +65,16 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
         ),
         "digests",
     )
-    heavy = stage(_heavy(rows, rows.count()), "heavy")
-    hot = rows.join(F.broadcast(heavy), "digest")
+    total = rows.count()
+    heavy = stage(_heavy(rows, total), "heavy")
     cold = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    winners = stage(_winners(cold), "winners")
+    large = F.col("group_size") >= max(2, -(-total // MANY))
+    known = stage(heavy.unionByName(winners.filter(large)), "known")  # at most 1 / SUPPORT + MANY rows
+    hot = rows.join(bounded(known, 96), "digest")
+    cold = rows.join(bounded(known.select("digest"), 16), "digest", "left_anti")
     return (
-        hot.unionByName(cold.join(_winners(cold), "digest"))
+        hot.unionByName(cold.join(winners.filter(~large), "digest"))
         .select(
             F.col("id").alias(id_col),
             F.col("keep.id").alias("keep_id"),
@@ -78,7 +86,7 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
 
 
 def drop_exact_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of df that stay, with all columns. Only ids travel: copies are removed by an anti-join on the id.
+    """The rows of df that stay, with all columns, whatever their names. Only ids travel: copies are removed by an anti-join on the id.
 
     Where ids repeat or are null, rows are matched by id, digest and length instead, and one of each is kept.
     """
@@ -87,17 +95,15 @@ def drop_exact_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_
     if n[0] == n[1] == n[2]:
         gone = found.filter(~F.col("kept")).select(id_col)
         return df.join(bounded(gone, 64), id_col, "left_anti")
-    keys = ["__id", "__sha", "__n"]
-    keyed = df.withColumns({
-        "__id": F.col(id_col),
-        "__sha": text_digest(F.col(text_col)),
-        "__n": F.length(F.coalesce(F.col(text_col), F.lit(""))),
-    })
-    kept = found.filter("kept").select(F.col(id_col).alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    same = F.col("__id").eqNullSafe(F.col("k_id")) & (F.col("__sha") == F.col("k_sha"))
-    longest = keyed.join(kept, same, "left_semi").groupBy("__id", "__sha").agg(F.max("__n").alias("m"))
-    longest = longest.select(F.col("__id").alias("k_id"), F.col("__sha").alias("k_sha"), "m")
-    stays = keyed.join(longest, same & (F.col("__n") == F.col("m")), "left_semi")
+    keys = [fresh(df, x) for x in ("row_id", "row_sha", "row_cp")]
+    k_id, k_sha, k_cp = (fresh(df, x) for x in ("k_id", "k_sha", "k_cp"))
+    text = F.col(text_col)
+    keyed = df.withColumns(dict(zip(keys, (F.col(id_col), text_digest(text), F.length(F.coalesce(text, F.lit("")))), strict=True)))
+    kept = found.filter("kept").select(F.col(id_col).alias(k_id), F.col("text_sha256").alias(k_sha))
+    same = F.col(keys[0]).eqNullSafe(F.col(k_id)) & (F.col(keys[1]) == F.col(k_sha))
+    longest = keyed.join(kept, same, "left_semi").groupBy(*keys[:2]).agg(F.max(keys[2]).alias(k_cp))
+    longest = longest.select(F.col(keys[0]).alias(k_id), F.col(keys[1]).alias(k_sha), k_cp)
+    stays = keyed.join(longest, same & (F.col(keys[2]) == F.col(k_cp)), "left_semi")
     return stays.dropDuplicates(keys).drop(*keys)
 
 

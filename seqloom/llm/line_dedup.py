@@ -2,8 +2,10 @@
 
 Pages are grouped by host; for each host, the pages that contain a line are divided by the host's pages, and lines above
 RATIO go, once the host has MIN_PAGES pages and the line is on MIN_HITS of them. A host's boilerplate is a short list by
-construction: pages have L lines on average, so at most L / RATIO lines can be on a share of RATIO of the pages. The lists,
-not the texts, are joined with the pages, so no text is shuffled, and large hosts are counted in parts.
+construction: pages have L lines on average, so at most L / RATIO lines can be on a share of RATIO of the pages. Large hosts are
+counted in parts. While the lists are small in all, they are broadcast and no text is shuffled. Beyond that, hashes of the
+pages' lines meet them in a join whose keys are salted, what is found is gathered by page, and pages join that by their number,
+so that neither a host nor a line gathers in one task.
 
 Defined cases: null texts have no lines and give an empty text; null hosts form a site of their own; blank lines are
 never dropped or counted. Lines are compared without white space at their ends. A line that is repeated on one page
@@ -16,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stage
+from .common import BROADCAST_BYTES, bounded, stage
 
 RATIO = 0.3
 MIN_PAGES = 5
 MIN_HITS = 3
+#: Parts into which each host's lines are dealt where its list is too large to be broadcast.
+SALTS = 64
 BLANKS = r"[\x20\x09-\x0D]"
 
 
@@ -46,16 +50,26 @@ def _lines(text: Column) -> Column:
     return F.filter(trimmed, lambda x: x != "")
 
 
-def drop_boilerplate(pages: DataFrame, text: Column, host: Column, id_col: str = "page_id", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_hits: int = MIN_HITS) -> DataFrame:
-    """One row per input row: id, host, n_lines, n_dropped, text (the lines that stay, one below the other)."""
-    rows = stage(pages.select(F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"), _lines(text).alias("lines")), "lines")
+def drop_boilerplate(pages: DataFrame, text: Column, host: Column, id_col: str = "page_id", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_hits: int = MIN_HITS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per input row: id, host, n_lines, n_dropped, text (the lines that stay, one below the other).
+
+    Lists of up to `most` bytes are broadcast.
+    """
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"), _lines(text).alias("lines"))
+    rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "lines")
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
     each = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
     hits = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= min_hits)
-    common = hits.join(bounded(totals, 64), "host").filter(F.col("hits") / F.col("pages") > ratio)
-    lists = stage(common.groupBy("host").agg(F.collect_list("line").alias("boilerplate")), "boilerplate")
-    size = lists.agg(F.coalesce(F.sum(F.size("boilerplate")), F.lit(0)), F.count(F.lit(1))).first()
-    joined = rows.join(bounded(lists, 8, int(size[0]) + 16 * size[1]), "host", "left")
+    common = stage(hits.join(bounded(totals, 64), "host").filter(F.col("hits") / F.col("pages") > ratio).select("host", "line"), "boilerplate")
+    n, letters = common.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("host")), F.lit(0))).first()
+    if 24 * n + letters <= most:
+        joined = rows.join(F.broadcast(common.groupBy("host").agg(F.collect_list("line").alias("boilerplate"))), "host", "left")
+    else:
+        salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        each = rows.select("rid", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
+        each = each.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+        of_page = each.join(salted, ["host", "line", "salt"]).groupBy("rid").agg(F.collect_list("line").alias("boilerplate"))
+        joined = rows.join(of_page, "rid", "left")
     stays = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("boilerplate", F.xxhash64(x))))
     return joined.select(
         F.col("id").alias(id_col),

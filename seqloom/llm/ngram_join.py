@@ -18,8 +18,8 @@ different ones meet is about 1e-16 a pair). Equal sets are one node from the sta
 
 Defined cases: null and blank texts have an empty set and are linked with nothing, not even with one another. Texts with
 fewer words than the n-gram have the whole sequence as one token. Ids may repeat or be null; a component's id is the
-smallest non-null id in it (null if there is none). Extra columns are ignored. Empty tables give empty results. Very long
-texts are read whole.
+smallest non-null id in it (null if there is none). Extra columns, whatever their names, are ignored by ``ngram_jaccard_join``
+and kept by ``keep_one_of_each``. Empty tables give empty results. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -29,16 +29,18 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, small_batches, stage, worker_state
+from .common import bounded, fresh, small_batches, stage, text_key, without, worker_state
 from .components import connected_components
 
 #: Tokens in more sets than this are indexed in combinations of two.
 FREQUENT = 32
 #: Sets smaller than this are indexed by single tokens only.
 SMALL = 8
+#: Sets with at least 1 / MANY of all rows, and tokens in at least 1 / MANY of all sets, meet their rows by a broadcast.
+MANY = 50_000
 
 
 @dataclass(frozen=True)
@@ -99,7 +101,7 @@ def tokens_of(text: str | None, words: int):
 
 
 def _sets(docs: DataFrame, rule: Rule, whole: bool) -> DataFrame:
-    """docs(id, text) to (id, n, fp, tokens): all tokens if whole, else those of the sample."""
+    """docs(id, th, text) to (id, th, n, fp, h, tokens): all tokens if whole, else those of the sample. h: the head of fp."""
     kind = docs.schema["id"].dataType.simpleString()
     edge = int(-(2**63) + rule.sample * 2**64) if rule.sample < 1 else 2**63 - 1
 
@@ -116,27 +118,23 @@ def _sets(docs: DataFrame, rule: Rule, whole: bool) -> DataFrame:
                     ns.append(len(tokens))
                     fps.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                     lists.append(tokens if whole else tokens[: np.searchsorted(tokens, edge)])
+                heads = [int.from_bytes(fp[:8], "big", signed=True) if fp else 0 for fp in fps]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 values = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int32()), pa.array(fps, pa.binary()), tokens], names=["id", "n", "fp", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ns, pa.int32()), pa.array(fps, pa.binary()), pa.array(heads, pa.int64()), tokens], names=["id", "th", "n", "fp", "h", "tokens"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n int, fp binary, tokens array<long>")
-
-
-def _head(fp: str = "fp"):
-    """The first 8 bytes of a fingerprint, as a number."""
-    return F.conv(F.hex(F.substring(fp, 1, 7)), 16, 10).cast("long")
+    return docs.select("id", "text", "th").mapInArrow(run, f"id {kind}, th long, n int, fp binary, h long, tokens array<long>")
 
 
 def _candidates(rows: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
     """Nodes (fp, id, n) that have at most as many own tokens in the sample as a link may miss."""
     alone = (
-        rows.filter("n > 0").select(_head().alias("h"), F.explode("tokens").alias("t"))
+        rows.filter("n > 0").select("h", F.explode("tokens").alias("t"))
         .groupBy("t").agg(F.min("h").alias("h"), F.max("h").alias("h2"))
         .filter("h = h2").groupBy("h").agg(F.count(F.lit(1)).alias("own"))
     )
-    kept = groups.withColumn("h", _head()).join(alone, "h", "left").filter(
+    kept = groups.join(alone, "h", "left").filter(
         F.coalesce("own", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * rule.num / F.lit(rule.den))
     )
     return kept.select("fp", "id", "n")
@@ -216,23 +214,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(F.size(F.array_intersect("ta", "tb")) >= _overlap("na", "nb", rule)).select("a", "b")
 
 
-def similar_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """docs(id, text) to its rows (id, n, fp), and the component (fp, label) of each set that has a link to another set."""
+def similar_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs(id, text) to its rows (id, th, n, fp), its sets (fp, id, n, h, c), with the least id and the number of rows of each,
+    and the component (fp, label) of each set that has a link to another set."""
     small_batches(docs)
-    docs = docs.select("id", "text")
+    docs = docs.select("id", "text", text_key(F.col("text")).alias("th"))
     rows = stage(_sets(docs, rule, False), "samples")
-    groups = stage(rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.max("n").alias("n")), "groups")
+    groups = stage(rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("h").alias("h"), F.count(F.lit(1)).alias("c")), "groups")
     some = stage(_candidates(rows, groups, rule), "candidates")
     n_some = some.count()
     picked = docs.join(bounded(some.select(F.col("id").alias("pick")).distinct(), 64, n_some), F.col("id").eqNullSafe(F.col("pick")), "left_semi")
-    sets = _sets(picked, rule, True).join(bounded(some.select("fp"), 96, n_some), "fp", "left_semi").drop("id")
+    sets = _sets(picked, rule, True).join(bounded(some.select("fp"), 96, n_some), "fp", "left_semi").select("n", "fp", "tokens")
     repeats = rows.agg(F.count(F.lit(1)) != F.countDistinct("id")).first()[0]
     sets = sets.dropDuplicates(["fp"]) if repeats else sets
     sets = stage(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
     each = sets.select("node", F.explode("tokens").alias("t"))
-    shared = each.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    found = each.join(shared, "t").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("o"))
+    shared = stage(each.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
+    found = _by_share(each, shared, "t", F.col("c") >= max(1000, n_some // MANY)).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("o"))
     ordered = (
         found.join(sets.select("node", "n"), "node")
         .filter(F.size("o") >= F.ceil(F.col("n") * rule.num / F.lit(rule.den)))
@@ -259,29 +258,51 @@ def similar_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     tree = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     label_of = connected_components(tree.unionByName(rest))
     named = sets.select("node", "fp").join(label_of, "node").select("fp", "label")
-    return rows.select("id", "n", "fp"), named
+    return rows.select("id", "th", "n", "fp"), groups, named
+
+
+def _by_share(rows: DataFrame, facts: DataFrame, key: str, frequent: Column) -> DataFrame:
+    """rows joined with facts, which has one row for each key: frequent keys by a broadcast, so that none gathers in one task."""
+    few = stage(facts.filter(frequent), "frequent")
+    hot = rows.join(bounded(few, 64), key)
+    cold = rows.join(bounded(few.select(key), 32), key, "left_anti").join(facts.filter(~frequent), key)
+    return hot.unionByName(cold)
+
+
+def _components(docs: DataFrame, rule: Rule) -> DataFrame:
+    """docs(id, text) to its rows (id, th, n, component_id, part): part names the component, and is null for empty sets."""
+    rows, groups, labels = similar_sets(docs, rule)
+    named = stage(groups.select("fp", F.col("id").alias("least"), "c").join(labels, "fp", "left"), "named")
+    linked = named.filter("label is not null")
+    best = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    alone = named.filter("label is null").select("fp", "c", F.col("least").alias("component_id"), F.hex("fp").alias("part"))
+    of_set = stage(linked.join(best, "label").select("fp", "c", "component_id", F.col("label").cast("string").alias("part")).unionByName(alone), "components")
+    found = _by_share(rows.filter("fp is not null"), of_set, "fp", F.col("c") >= max(2, rows.count() // MANY))
+    empty = rows.filter("fp is null").withColumns({"component_id": F.col("id"), "part": F.lit(None).cast("string")})
+    columns = ("id", "th", "n", "component_id", "part")
+    return found.select(*columns).unionByName(empty.select(*columns))
 
 
 def ngram_jaccard_join(df: DataFrame, rule: Rule | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: id, n_shingles, component_id."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows, labels = similar_sets(docs, rule or Rule())
-    groups = rows.filter("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
-    named = stage(groups.join(labels, "fp", "left"), "named")
-    linked = named.filter("label is not null")
-    best = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    alone = named.filter("label is null").select("fp", F.col("least").alias("component_id"))
-    of_set = stage(linked.join(best, "label").select("fp", "component_id").unionByName(alone), "components")
-    return rows.join(of_set, "fp", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    return _components(docs, rule or Rule()).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each(df: DataFrame, rule: Rule | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of df whose id is that of their component; rows without words stay. Of rows with one id all stay."""
-    found = stage(ngram_jaccard_join(df, rule, text_col, id_col), "joined")
-    gone = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    gone = stage(gone, "gone")
-    return df.join(bounded(gone, 64), id_col, "left_anti")
+    """One row of each component, that with the smallest id (null ids come last); rows without words all stay.
+
+    Rows go by id and text, so one of several rows with an id may stay. Of rows equal in both one stays.
+    """
+    found = stage(_components(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rule or Rule()), "joined")
+    worded, first = found.filter("part is not null"), F.col("id").eqNullSafe(F.col("component_id"))
+    parts, firsts = worded.agg(F.countDistinct("part"), F.coalesce(F.sum(first.cast("int")), F.lit(0))).first()
+    if parts == firsts:
+        return without(df, worded.filter(~first), id_col, text_col)
+    # ids repeat or are null: of a component's rows with its id, the one with the least hash, once
+    best = worded.filter(first).groupBy("part").agg(F.min("th").alias("best"))
+    gone = worded.join(best, "part").filter(~first | (F.col("th") != F.col("best")))
+    kept = without(df, gone, id_col, text_col)
+    key, words = fresh(kept, "th"), F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    kept = kept.withColumn(key, text_key(F.col(text_col)))
+    return kept.filter(words).dropDuplicates([id_col, key]).unionByName(kept.filter(~words)).drop(key)

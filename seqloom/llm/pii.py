@@ -21,11 +21,12 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 import string
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -37,16 +38,17 @@ FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-31
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[\w%+-][\w.%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"
     r"|(?P<secret>(?<=[\"'=: ])(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<ipv4>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<ipv4>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
+    r"|(?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-]|\.[0-9]))"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
+    r"|(?P<phone>(?<!\w)(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))"
+    r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
 )
 SECRET_WORD = re.compile(r"(?i)(?:token|key|secret|password|passwd|pwd)\W{0,6}$")
 #: Every pattern implies one of these: two digits with at most two separators between them, an @, or a secret's length.
-MAY_HOLD = re.compile(r"\d[ ./()-]{0,2}\d|@|[0-9a-fA-F]{32}")
+#: Digits are those of ASCII everywhere: others have no place in the formats.
+MAY_HOLD = re.compile(r"[0-9][ ./()-]{0,2}[0-9]|@|[0-9a-fA-F]{32}")
 
 
 class Permuter:
@@ -91,11 +93,15 @@ def _iban_number(text: str) -> int:
     return int("".join(str(int(ch, 36)) for ch in text[4:] + text[:4]))
 
 
+def _digit(ch: str) -> bool:
+    return "0" <= ch <= "9"
+
+
 def _refill(shape: str, symbols: str) -> str:
     """The symbols in place of shape's digits (and letters, where there are as many symbols)."""
     it = iter(symbols)
-    only_digits = sum(ch.isdigit() for ch in shape) == len(symbols)
-    return "".join(next(it) if (ch.isdigit() if only_digits else ch.isalnum()) else ch for ch in shape)
+    only_digits = sum(map(_digit, shape)) == len(symbols)
+    return "".join(next(it) if (_digit(ch) if only_digits else ch.isalnum()) else ch for ch in shape)
 
 
 def _mixed(p: Permuter, text: str, kind: str, back: bool) -> str:
@@ -109,7 +115,7 @@ def _mixed(p: Permuter, text: str, kind: str, back: bool) -> str:
         size *= len(c)
     if size < 2:
         return text
-    shape = "".join("9" if ch.isdigit() else "a" if ch.lower() in classes else ch for ch in text.lower())
+    shape = "".join("9" if _digit(ch) else "a" if ch.lower() in classes else ch for ch in text.lower())
     number = p.walk(number, size, f"{kind}:{shape}", back=back)
     out = list(text)
     for i in reversed(at):
@@ -120,7 +126,7 @@ def _mixed(p: Permuter, text: str, kind: str, back: bool) -> str:
 
 
 def _date(text: str) -> tuple[datetime.date, str] | None:
-    sep = next(ch for ch in text if not ch.isdigit())
+    sep = next(ch for ch in text if not _digit(ch))
     parts = [int(x) for x in text.split(sep)]
     for order in (("ymd",) if sep == "-" else ("dmy", "mdy") if sep == "." else ("mdy", "dmy")):
         by = dict(zip(order, parts, strict=True))
@@ -134,7 +140,7 @@ def _date(text: str) -> tuple[datetime.date, str] | None:
 
 def pseudonym(p: Permuter, kind: str, text: str, back: bool = False) -> str | None:
     """The pseudonym of a value, or None if the value isn't valid. With back, the value of a pseudonym."""
-    digits = "".join(ch for ch in text if ch.isdigit() and ch.isascii())
+    digits = "".join(filter(_digit, text))
     if kind == "email":
         local, at, domain = text.partition("@")
         return _mixed(p, local, "email", back) + at + domain
@@ -152,7 +158,7 @@ def pseudonym(p: Permuter, kind: str, text: str, back: bool = False) -> str | No
         if not (got := _date(text)):
             return None
         day, order = got
-        sep = next(ch for ch in text if not ch.isdigit())
+        sep = next(ch for ch in text if not _digit(ch))
         parts = text.split(sep)
 
         def valid(x: int) -> bool:  # written in this order it must be read as the same day again
@@ -256,6 +262,16 @@ def pseudonymise(p: Permuter, text: str | None, back: bool = False) -> tuple[str
     return "".join([*out, text[done:]]), kinds
 
 
+_OWN_KEYS: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key in spark.seqloom.pii.key. Without one, a random key of this application: nobody can turn its pseudonyms back,
+    and they are linked within the application only."""
+    given = spark.conf.get("spark.seqloom.pii.key", None)
+    return given.encode() if given else _OWN_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 def _mapped(df: DataFrame, key: bytes, text_col: str, id_col: str, back: bool) -> DataFrame:
     small_batches(df)
     kind = df.schema[id_col].dataType.simpleString()

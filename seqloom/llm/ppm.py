@@ -36,9 +36,9 @@ from .common import bounded, clear_worker, small_batches, stage, worker_state
 
 ORDER = 5
 #: Pairs whose log probabilities are broadcast, and about as many counts are held by a worker.
-MAX_NODES = 3_000_000
+MAX_NODES = 2_000_000
 #: Words whose counts are broadcast.
-TOP = 200_000
+TOP = 100_000
 #: Symbols: bytes 0 to 255, the end mark, and the start mark (in contexts only).
 END, START, BITS = 256, 257, 9
 #: Bytes that are handled at once.

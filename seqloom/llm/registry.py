@@ -15,7 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2)))
+    usable = ~held_out("doc_id", 4, 2)
+    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), usable), docs.filter(usable))
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
@@ -55,8 +56,7 @@ def op8_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.seqloom.pii.key", "a key for tests only")
-    return pii.mask(table(spark, sf_dir, "documents"), key.encode())
+    return pii.mask(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

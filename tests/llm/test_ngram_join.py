@@ -92,6 +92,23 @@ def test_repeated_and_null_ids(spark):
     assert got == sorted([(1, 2, 1), (1, 2, 1), (1, 2, 1), (None, 2, 1), (None, 2, None)], key=repr)
 
 
+def test_one_row_of_each_stays(spark):
+    a, b, c = ("one two three four five six seven", "this is another text of some length", "ein dritter satz mit genug worten darin")
+    rows = [(5, a), (3, b), (5, b), (None, c), (None, c.upper()), (7, b), (7, b), (8, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, th long, gone_id long")
+    kept = keep_one_of_each(docs)
+    got = sorted(((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect()))
+    assert got == sorted([(5, a), (3, b), (0, c), (8, ""), (8, "")]) and kept.columns == docs.columns
+
+
+def test_one_set_in_most_rows(spark):
+    """A set, and a signature, that nine rows of ten share are met by broadcast and change nothing."""
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(base) if i % 10 else " ".join([*base[:59], f"x{i}"])) for i in range(3000)]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), Rule(3, 90, 100)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, Rule(3, 90, 100))
+
+
 def test_components_of_chains(spark):
     rng = random.Random(3)
     names = list(range(300))

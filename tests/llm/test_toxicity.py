@@ -1,9 +1,10 @@
+import itertools
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from seqloom.llm.registry import op1_toxicity
-from seqloom.llm.toxicity import CONTEXT, EDGE, CharModel, Restorer, decode, labelled, score, train
+from seqloom.llm.toxicity import CONTEXT, EDGE, GLUE, CharModel, Restorer, decode, labelled, lattice, score, train
 
 SF = "/root/testdata/sf0.1"
 PLAIN = "you are an idiot and a worthless moron the house is green and sunny today with loose boots on the table seven stairs letter bottle".split()
@@ -21,9 +22,55 @@ def test_decoder():
     m = model()
     for seen, meant in (("1d10t", "idiot"), ("m0r0n", "moron"), ("idiiiiot", "idiot"), ("w0rthl3$$", "worthless"), ("mooooron", "moron"), ("looose", "loose"), ("b00ts", "boots")):
         assert decode(seen, m) == meant
-    words = Restorer(m).words("You i d i o t , a M-0-R-0-N! and 2024 plain house, w@rm 3rd")
+    r = Restorer(m, PLAIN)
+    words = r.words("You i d i o t , a M-0-R-0-N! and 2024 plain house, w@rm 3rd")
     assert {"idiot", "moron", "house", "you"} <= words
-    assert Restorer(m).words(None) == Restorer(m).words("") == set()
+    assert r.words(None) == r.words("") == set()
+
+
+def test_spacing_and_repetition_without_bounds():
+    r = Restorer(model(), PLAIN)
+    for seen in ("i  d  i  o  t", "id iot", "a i d i o t", "you.are.an.1d10t", "y o u a r e a n i d i o t", "iidiot", "id" + "i" * 39 + "ot", "id" + "i" * 5000 + "ot", "idiot!!!", "**idiot", "moron/1d1ot"):
+        assert "idiot" in r.words(seen), seen
+    assert "moron" in r.words("mooron") and "moron" in r.words("moron/1d1ot")
+    assert "worthless" in r.words("w o r t h " * 30_000 + "w o r t h l e s s")  # across parts of a long text
+    assert r.words("1 0 7") == set() and "idiot" not in r.words("an id and iota")
+
+
+def readings(token):
+    """Every reading of a token's lattice with its cost, spelled out."""
+    if not token:
+        return [("", 0.0)]
+    positions = []
+    for t in token.split(" "):
+        positions += [[(" ", 0.0), ("", GLUE)]] if positions else []
+        positions += lattice(t)
+    return [("".join(x for x, _ in path), sum(c for _, c in path)) for path in itertools.product(*positions)]
+
+
+def test_viterbi_against_all_readings():
+    m = model()
+    for token in ("1d1ot", "m0r0n", "iidiot", "a b", "id iot", "b00t$", "l0o$e!", "i d i o t", "7h3"):
+
+        def log(text):
+            total = 0.0
+            for w in text.split(" "):
+                s = EDGE * CONTEXT + w + EDGE
+                total += sum(m.log(s[i : i + CONTEXT], s[i + CONTEXT]) for i in range(len(s) - CONTEXT))
+            return total
+
+        scored = {}
+        for text, cost in readings(token):
+            scored[text] = max(scored.get(text, -1e9), cost + log(text))
+        got = decode(token, m)
+        assert scored[got] > max(scored.values()) - 1e-9, (token, got)
+        # the trie accepts exactly the words that some reading spells
+        for w in {x for x in scored if x and " " not in x}:
+            states = frozenset((0,))
+            r = Restorer(m, [w])
+            for t in token.split(" "):
+                states = r.spell(t, states)
+            assert any(r.final[s] for s in states), (token, w)
 
 
 def test_held_out_quality(spark):
