@@ -123,19 +123,35 @@ NEAR_MISSES = (
 FAMILIES = (UNKNOWN, *TEMPLATES)
 
 
-#: A passage that holds enough of a template has a word with one of these beginnings.
-ANCHORS = ("licens", "permission", "redistribut", "copyright", "warrant", "unencumbered")
-
-
 def plain_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
+def _plain_triples(template: str) -> set[tuple[str, ...]]:
+    words = plain_words(template)
+    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+
+
+def _free(template: str, anchors: tuple[str, ...]) -> list[tuple[str, ...]]:
+    return sorted(t for t in _plain_triples(template) if not any(w.startswith(anchors) for w in t))
+
+
+def _anchors() -> tuple[str, ...]:
+    """Words of the templates, long ones first, until no template has CONFIRM of its triples without one."""
+    found: tuple[str, ...] = ()
+    for template in (t for texts in TEMPLATES.values() for t in texts):
+        while len(free := _free(template, found)) >= CONFIRM * len(_plain_triples(template)):
+            found += (max(sorted({w for t in free for w in t}), key=lambda w: len(w) ** 3 * sum(w in t for t in free)),)
+    return found
+
+
+#: A passage that holds enough of a template has a word with one of these beginnings.
+ANCHORS = _anchors()
+
+
 def free_share(template: str) -> float:
     """Share of a template's word triples that a passage without ANCHORS can hold."""
-    words = plain_words(template)
-    triples = {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
-    return sum(not any(w.startswith(ANCHORS) for w in t) for t in triples) / max(1, len(triples))
+    return len(_free(template, ANCHORS)) / max(1, len(_plain_triples(template)))
 
 
 def _known_terms() -> list[str]:
@@ -261,7 +277,7 @@ def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataF
     """For each id: n_paragraphs, licences (families in alphabetical order), n_licence_paragraphs, probability (highest)."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = Classifier(docs)
-    likely = docs.withColumn("rid", F.monotonically_increasing_id()).filter(F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.lit("(?i)" + "|".join(ANCHORS))))
+    likely = docs.withColumn("rid", F.monotonically_increasing_id()).filter(F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(ANCHORS) + ")")))
     passages = _passages(likely).filter(_anchored(F.col("words")))
     found = model.apply(passages.withColumn("terms", _terms(F.col("words")))).filter(F.col("probability") >= MIN_KNOWN).select("id", "rid", "paragraph", "family", "probability", "words")
     templates = F.broadcast(_templates(df.sparkSession).select(F.col("family").alias("t_family"), "t_triples"))  # a fixed table
