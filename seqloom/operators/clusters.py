@@ -304,16 +304,19 @@ def merge_one_sided(dummies: DataFrame, calls: DataFrame, blur: int, least: floa
     known end agree and the score exceeds `least`; ties go to the smallest id. The coordinate that both have is averaged.
     All dummies see the calls as they were, where a sequential rule would show later ones the changes of earlier ones.
     """
-    side = lambda known, axis, strand: (
-        dummies.filter(F.col("from_known") == known).select(F.col("id").alias("a_id"), F.col("run").alias("a_run"), F.col("pos").alias("a_pos"), F.col(strand).alias("a_fwd"), F.explode(F.sequence(F.floor((F.col("pos") - blur) / blur), F.floor((F.col("pos") + blur) / blur))).alias("cell")),
-        calls.filter(F.col("score") > least).select(F.col("id").alias("b_id"), F.col("run").alias("b_run"), F.col(axis).alias("b_pos"), F.col(strand).alias("b_fwd"), "score", "x", "y", F.floor(F.col(axis) / blur).alias("cell")),
-    )
     parts = []
     for known, axis, strand in ((True, "x", "from_fwd"), (False, "y", "to_fwd")):
-        a, b = side(known, axis, strand)
-        on = (a["cell"] == b["cell"]) & (F.col("a_run") == F.col("b_run")) & (F.col("a_fwd") == F.col("b_fwd"))
-        near = a.join(b, on).filter(F.abs(F.col("a_pos") - F.col("b_pos")) <= blur)
-        middle = F.floor((F.col("a_pos") + F.col("b_pos")) / 2)
-        parts.append(near.select("a_id", "b_id", "score", *[middle.alias(c) if c == axis else F.col(c) for c in ("x", "y")]))
-    best = F.row_number().over(W.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))
-    return parts[0].unionByName(parts[1]).withColumn("n", best).filter("n = 1").select(F.col("a_id").alias("dummy_id"), F.col("b_id").alias("call_id"), "score", "x", "y")
+        asked = dummies.filter(F.col("from_known") == known).select(F.col("id").alias("dummy_id"), "run", "pos", F.col(strand).alias("fwd"))
+        # of the calls of one position only the best can be taken, and dummies of one position take the same
+        place = ["run", "fwd", "pos"]
+        best = F.struct((-F.col("score")).alias("s"), F.col("id").alias("call_id"), "score", "x", "y")
+        best = calls.filter(F.col("score") > least).select("run", F.col(strand).alias("fwd"), F.col(axis).alias("pos"), best.alias("best")).groupBy(*place).agg(F.min("best").alias("best"))
+        cell = lambda to: F.floor((F.col("pos") + to) / blur)
+        strips = asked.select(place).distinct().withColumn("cell", F.explode(F.sequence(cell(-blur), cell(blur))))
+        there = best.select("run", "fwd", F.col("pos").alias("at"), "best", cell(0).alias("cell"))
+        found = strips.join(there, ["run", "fwd", "cell"]).filter(F.abs(F.col("pos") - F.col("at")) <= blur).groupBy(*place).agg(F.min("best").alias("best"))
+        near = asked.join(found, place).select("dummy_id", "best.call_id", "best.score", "best.x", "best.y", "pos")
+        middle = F.floor((F.col("pos") + F.col(axis)) / 2)
+        parts.append(near.select("dummy_id", "call_id", "score", *[middle.alias(c) if c == axis else F.col(c) for c in ("x", "y")]))
+    best = F.row_number().over(W.partitionBy("dummy_id").orderBy(F.desc("score"), "call_id"))
+    return parts[0].unionByName(parts[1]).withColumn("n", best).filter("n = 1").drop("n")

@@ -55,3 +55,17 @@ def test_dense_calls_are_not_paired(spark):
     rows = spark.range(100_000).select("id", *[F.lit(v).cast("long").alias(c) for c, v in {"run": 1, "y": 5, "w": 50, "h": 8, "reads": 2, "nt": 3, "ambiguity": 1}.items()], (F.col("id") % 40).alias("x"), F.lit(True).alias("from_fwd"), F.lit(True).alias("to_fwd"), (F.col("id") % 30).alias("inserted_size"))
     got = C.combine(rows, ["run", "from_fwd", "to_fwd"], 10).select("id", "x", "w", "reads", "n").collect()
     assert list(map(tuple, got)) == [(0, 0, 89, 200_000, 100_000)]
+
+
+def test_one_sided_against_all_pairs(spark):
+    rng = random.Random(4)
+    calls = [call(rng, i, 500) for i in range(400)]
+    dummies = [(i, rng.randint(1, 2), rng.randrange(-40, 540), rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.9) for i in range(200)]
+    want = []
+    for i, run, pos, known, f, t in dummies:
+        near = [c for c in calls if c[1] == run and c[11] > 5 and abs(pos - c[2 if known else 3]) <= 20 and (c[6] == f if known else c[7] == t)]
+        if near:
+            c = min(near, key=lambda c: (-c[11], c[0]))
+            want.append((i, c[0], c[11], (pos + c[2]) // 2 if known else c[2], c[3] if known else (pos + c[3]) // 2))
+    got = C.merge_one_sided(spark.createDataFrame(dummies, "id long, run long, pos long, from_known boolean, from_fwd boolean, to_fwd boolean"), spark.createDataFrame(calls, CALL), 20, 5.0)
+    assert sorted(map(tuple, got.select("dummy_id", "call_id", "score", "x", "y").collect())) == want
