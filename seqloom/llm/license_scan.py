@@ -14,8 +14,8 @@ so no other can be confirmed (``free_share``).
 
 Training rows are the templates, whole, in halves, and after words of other passages; `unknown` rows are at most about
 MAX_BACKGROUND passages of BACKGROUND_DOCS documents, both picked by hashes of their texts, that share no word triple with a
-template, sentences that only talk about licences, and the templates' words in alphabetical order. The model has FEATURES
-weights for each family, which bounds what is broadcast.
+template, sentences that only talk about licences, and the templates' words in alphabetical order. The model has one
+weight for each known term and family, and is fitted on at most PARTS tasks at once, which bounds what is sent to the driver.
 
 Defined cases: null and empty texts have no paragraphs and no families. Documents with one id count as one (null ids
 too). Repeated paragraphs count each time. Of notices of two families in one line, or in one window, the likelier is found; of
@@ -28,16 +28,17 @@ from __future__ import annotations
 import re
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage
 
-FEATURES = 1 << 14
 MAX_BACKGROUND, BACKGROUND_DOCS = 4_000, 1_000
 MIN_KNOWN = 0.5
+#: Tasks of each pass over the few thousand training rows. Every one sends a gradient to the driver.
+PARTS = 4
 CONFIRM = 0.6
 #: Words of a window, and from the start of one to that of the next: all runs of WIDTH - STEP words are in one window.
 WIDTH, STEP = 64, 24
@@ -245,8 +246,8 @@ class Classifier:
     """The two fitted models and their application."""
 
     def __init__(self, docs: DataFrame):
-        self.hashing = HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True)
-        rows = stage(self.hashing.transform(_with_terms(_training(docs))).select("features", "label", "part"), "features")
+        self.vocabulary = CountVectorizerModel.from_vocabulary(_known_terms(), inputCol="terms", outputCol="features").setBinary(True)
+        rows = stage(self.vocabulary.transform(_with_terms(_training(docs))).select("features", "label", "part").coalesce(PARTS), "features").coalesce(PARTS)
         fit = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, predictionCol="family", probabilityCol="p", rawPredictionCol="raw").fit
         self.model = fit(rows.filter("part > 0"))
         held = self._margins(rows.filter("part = 0")).withColumn("known", (F.col("label") > 0).cast("double"))
@@ -264,7 +265,7 @@ class Classifier:
 
     def apply(self, rows: DataFrame) -> DataFrame:
         """Rows with words and terms, and for each the best family and probability, the calibrated one of any."""
-        found = self._margins(self.hashing.transform(rows))
+        found = self._margins(self.vocabulary.transform(rows))
         w, b = float(self.calibration.coefficients[0]), float(self.calibration.intercept)
         return found.withColumn("probability", 1 / (1 + F.exp(-(F.col("margin") * w + b))))
 

@@ -92,3 +92,12 @@ def test_edges(spark, docs):
     assert got[-3].n_paragraphs == got[-3].n_licence_paragraphs == 2
     assert got[-4].n_paragraphs == 4 and got[-4].n_licence_paragraphs == 3
     assert scan(extra.filter("doc_id > 0")).count() == 0
+
+
+def test_the_model_is_small(spark):
+    """Each pass of the fit sends its weights, and every task a gradient of that size, through the driver."""
+    from seqloom.llm import license_scan as L
+
+    docs = spark.createDataFrame([(f"some plain words of text {i}",) for i in range(60)], "text string").repartition(40)
+    model = L.Classifier(docs).model
+    assert model.numFeatures == len(L._known_terms()) < 2000
